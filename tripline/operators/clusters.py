@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.geo import EARTH_RADIUS_KM
-from tripline.operators.runs import RUN_COLUMNS, TRACK, merge_aggregates
+from tripline.operators.runs import RUN_COLUMNS, TRACK, item_runs, merge_aggregates
 
 # A jump of this many radii starts a new cluster whatever the centroid is: the centroid
 # stays within about one radius of the last item, as long as a radius is small on the
@@ -148,26 +148,16 @@ def cluster_runs(clustered: DataFrame, label: Column, by: Sequence[str] = TRACK)
 
     Two aggregations, both combined map-side: per (cluster, label), then per cluster."""
     by = list(by)
-    us, ident = F.unix_micros("t"), F.col("media_id").cast("string")
-    items = clustered.select(
-        *by,
-        "cluster_id",
-        label.alias("_label"),
-        us.alias("first_us"),
-        ident.alias("first_id"),
-        F.col("local_date").alias("first_date"),
-        us.alias("last_us"),
-        ident.alias("last_id"),
-        F.col("local_date").alias("last_date"),
-        F.col("lat").alias("sum_lat"),
-        F.col("lng").alias("sum_lng"),
-        F.lit(1).cast("long").alias("n"),
-        F.when(F.col("url") != "", F.col("url")).alias("first_url"),
-    )
-    per_label = items.groupBy(*by, "cluster_id", "_label").agg(*merge_aggregates())
+    items = item_runs(clustered.withColumn("_label", label), F.col("_label"), [*by, "cluster_id"])
+    # The labels of a cluster interleave in time: keep when each link was seen.
+    link = F.struct("first_us", "first_id", "first_url")
+    items = items.withColumn("_link", F.when(F.col("first_url").isNotNull(), link))
+    first_link = F.min("_link").alias("_link")
+    per_label = items.groupBy(*by, "cluster_id", "run_key").agg(*merge_aggregates(), first_link)
     rank = F.struct(-F.col("n"), "first_us", "first_id")
     return (
         per_label.groupBy(*by, "cluster_id")
-        .agg(F.min_by("_label", rank).alias("run_key"), *merge_aggregates())
+        .agg(F.min_by("run_key", rank).alias("run_key"), *merge_aggregates(), first_link)
+        .withColumn("first_url", F.col("_link.first_url"))
         .select(*by, "cluster_id", *RUN_COLUMNS)
     )

@@ -70,10 +70,3 @@ def poi_rollup(
         )
     )
 
-
-def level_for_span(days: float) -> str:
-    """The place level that suits a time window: wide windows show countries, then cities,
-    then neighbourhoods."""
-    if days > 60:
-        return "country"
-    return "city" if days > 7 else "area"
