@@ -53,14 +53,23 @@ def photo_id(url: Column) -> Column:
     ).otherwise(blank_to_null(url))
 
 
-def component(components: Column, kind: str, field: str = "long_name") -> Column:
+def component(components: Column, kind: Column | str, field: str = "long_name") -> Column:
     """A field of the *first* component having the type; no search beyond that one."""
     hits = F.filter(components, lambda c: F.array_contains(c["types"], kind))
     return F.get(hits, F.lit(0))[field]
 
 
 def place_city(components: Column) -> Column:
-    return F.coalesce(*[blank_to_null(component(components, k)) for k in CITY_TYPES])
+    """First non-empty name along the type chain. One expression over the chain, so that a
+    parsed column is referred to once."""
+    chain = F.array(*map(F.lit, CITY_TYPES))
+    names = F.transform(chain, lambda kind: component(components, kind))
+    return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
+
+
+def json_list(text: Column, ddl: str) -> Column:
+    """Parsed JSON text that is a list; NULL for anything else."""
+    return F.from_json(F.regexp_extract(text, r"^(?s)\s*(\[.*)$", 1), ddl)
 
 
 def place_area(components: Column) -> Column:
