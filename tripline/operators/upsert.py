@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 
 def upsert(
-    current: DataFrame, changes: DataFrame, key: str, keep: Sequence[str] = ()
+    current: DataFrame, changes: DataFrame, key: str | Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
     """``current`` with the rows of ``changes`` inserted or written over it. ``keep`` columns
     retain their old value if there is one. Both sides are unique in ``key``, so the join
     has no hot key; a catalog bucketed by ``key`` needs no shuffle on its side."""
-    old = current.select(F.col(key), F.struct(*current.columns).alias("_old"))
-    new = changes.select(F.col(key), F.struct(*changes.columns).alias("_new"))
+    keys = [key] if isinstance(key, str) else list(key)
+    old = current.select(*keys, F.struct(*current.columns).alias("_old"))
+    new = changes.select(*keys, F.struct(*changes.columns).alias("_new"))
 
     def pick(c: str) -> Column:
         if c not in changes.columns:
@@ -24,14 +25,15 @@ def upsert(
             return F.coalesce(F.col(f"_old.{c}"), F.col(f"_new.{c}"))
         return F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))
 
-    joined = old.join(new, key, "full_outer")
-    return joined.select(key, *[pick(c).alias(c) for c in current.columns if c != key]).select(
-        *current.columns
-    )
+    joined = old.join(new, keys, "full_outer")
+    return joined.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in current.columns])
 
 
 def upsert_media(
-    current: DataFrame, changes: DataFrame, now: Column | None = None, key: str = "dedupe_key"
+    current: DataFrame,
+    changes: DataFrame,
+    now: Column | None = None,
+    key: str | Sequence[str] = ("track_id", "dedupe_key"),
 ) -> DataFrame:
     """Media upsert: created_at is kept, updated_at stamped on every written row."""
     at = F.current_timestamp() if now is None else now

@@ -35,7 +35,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], tuple] = {}
 
 
-def _stored(
+def stored(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
     tune(spark)
@@ -58,7 +58,7 @@ def _slot() -> Column:
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "media", lambda: _media(spark, sf_dir))
+    return stored(spark, sf_dir, "media", lambda: _media(spark, sf_dir))
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ GEOCODED_UNTIL = "2024-01-20"
 
 
 def geo_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "geo_media", lambda: _geo_media(spark, sf_dir))
+    return stored(spark, sf_dir, "geo_media", lambda: _geo_media(spark, sf_dir))
 
 
 def _geo_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _components(cell: Column) -> Column:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "responses", lambda: _responses(spark, sf_dir))
+    return stored(spark, sf_dir, "responses", lambda: _responses(spark, sf_dir))
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "geo_place", lambda: _geo_place(spark, sf_dir))
+    return stored(spark, sf_dir, "geo_place", lambda: _geo_place(spark, sf_dir))
 
 
 def _geo_place(spark: SparkSession, sf_dir: str) -> DataFrame:
