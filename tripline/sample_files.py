@@ -86,15 +86,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LISTING_SQL = f"""SELECT x, u, sec, dir, name, dir || '/' || name AS path, 1000 + x % 977 AS size FROM (
+# Copies of some files in a second folder of the same track.
+COPY_DIR = "'export/' || u || '/Copies'"
+COPIED = "x % 18 = 0"
+
+LISTING_SQL = f"""SELECT x, u, sec, dir, name, dir || '/' || name AS path, 1000 + x % 977 AS size,
+  CASE WHEN x % 97 = 0 THEN 'unreadable object' END AS error FROM (
   SELECT x, u, sec, {DIR} AS dir, {MEDIA_NAME} AS name FROM {{ev}}
   UNION ALL SELECT x, u, sec, {DIR}, {SECOND_MEDIA_NAME} FROM {{ev}} WHERE x % 9 = 7
   UNION ALL SELECT x, u, sec, {DIR}, {SIDECAR_NAME} FROM {{ev}} WHERE x % 9 <> 6
-  UNION ALL SELECT x, u, sec, {DIR}, {SECOND_SIDECAR_NAME} FROM {{ev}} WHERE x % 9 = 8) f"""
+  UNION ALL SELECT x, u, sec, {DIR}, {SECOND_SIDECAR_NAME} FROM {{ev}} WHERE x % 9 = 8
+  UNION ALL SELECT x, u, sec, {COPY_DIR}, {MEDIA_NAME} FROM {{ev}} WHERE {COPIED}
+  UNION ALL SELECT x, u, sec, {COPY_DIR}, {SIDECAR_NAME} FROM {{ev}} WHERE {COPIED}) f"""
 
 DOCS_SQL = f"""SELECT x, dir, name, dir || '/' || name AS path, json FROM (
   SELECT x, {DIR} AS dir, {SIDECAR_NAME} AS name, {JSON} AS json FROM {{ev}} WHERE x % 9 <> 6
-  UNION ALL SELECT x, {DIR}, {SECOND_SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE x % 9 = 8) f"""
+  UNION ALL SELECT x, {DIR}, {SECOND_SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE x % 9 = 8
+  UNION ALL SELECT x, {COPY_DIR}, {SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE {COPIED}) f"""
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +113,7 @@ def _listing(spark, sf_dir):
     rows = _sql(spark, LISTING_SQL, ev=events(spark, sf_dir))
     return rows.select(
         F.col("u").alias("track_id"),
-        "path", "dir", "name",
+        "path", "dir", "name", "error",
         F.col("size").cast("long").alias("size"),
         F.timestamp_seconds(F.col("sec") + 86400).alias("mtime"),
     )
