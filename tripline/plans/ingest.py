@@ -12,6 +12,8 @@ from tripline.functions.times import month_bounds
 from tripline.operators import resolve
 from tripline.operators.matching import match_sidecars
 from tripline.operators.upsert import upsert_media
+from tripline.session import materialize
+from tripline.sources.sidecars import parse_sidecars
 
 
 @dataclass
@@ -54,7 +56,7 @@ def resolve_files(
 
 def ingest(
     listing: DataFrame,
-    sidecars: DataFrame,
+    documents: DataFrame,
     exif: DataFrame,
     tz_cells: DataFrame,
     catalog: DataFrame,
@@ -63,10 +65,15 @@ def ingest(
     force: bool = False,
     now: Column | None = None,
 ) -> Ingested:
-    """``listing`` has track_id, path, dir, name, size, mtime; ``sidecars`` is parsed and has
-    path, dir, name; ``exif`` has path, datetime_text, lat, lng, perceptual_hash, meta."""
+    """``listing`` has track_id, path, dir, name, size, mtime and optionally error;
+    ``documents`` has path, dir, name, json; ``exif`` has path, datetime_text, lat, lng,
+    perceptual_hash, meta. Folders of other years are dropped before a document is parsed, and
+    each document is parsed once: the typed result is written for the steps that follow."""
     months = month_bounds(month_filter) if month_filter else None
     files, skipped_folders = media_side(listing, months)
+    if months:
+        documents = documents.where(in_folder_years(F.col("dir"), *months))
+    sidecars = materialize(parse_sidecars(documents), "sidecars")
     matches = match_sidecars(files, sidecars)
     rows = resolve_files(files, matches, sidecars, exif, tz_cells, catalog, months, force)
     changes = resolve.resolve_duplicates(resolve.catalog_rows(rows))

@@ -116,19 +116,22 @@ def _listing(spark, sf_dir):
         "path", "dir", "name", "error",
         F.col("size").cast("long").alias("size"),
         F.timestamp_seconds(F.col("sec") + 86400).alias("mtime"),
-    )
+    ).repartition("dir")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar texts: dir, name, path, json."""
     return sample.stored(
         spark, sf_dir, "documents",
-        lambda: _sql(spark, DOCS_SQL, ev=events(spark, sf_dir)).drop("x"),
+        lambda: _sql(spark, DOCS_SQL, ev=events(spark, sf_dir)).drop("x").repartition("dir"),
     )
 
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_sidecars(documents(spark, sf_dir))
+    """Parsed once and stored, as an ingest does."""
+    return sample.stored(
+        spark, sf_dir, "sidecars", lambda: parse_sidecars(documents(spark, sf_dir))
+    )
 
 
 # EXIF rows of the media files.
@@ -165,7 +168,7 @@ def _exif(spark, sf_dir):
     raw = _sql(spark, EXIF_SQL.replace("{text}", "t"), files=files)
     dms = F.when(F.col("has_dms"), F.array(*map(F.lit, (35.0, 30.0, 36.0))))
     return exif_columns(
-        raw.withColumns(
+        raw.repartition("path").withColumns(
             {
                 "lat_dms": dms,
                 "lng_dms": F.when(F.col("has_dms"), F.array(*map(F.lit, (139.0, 45.0, 18.0)))),

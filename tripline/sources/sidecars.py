@@ -10,94 +10,97 @@ from pyspark.sql import functions as F
 from tripline.functions.identity import sidecar_fingerprint
 from tripline.functions.text import strip
 
-_TEXTS = ("$.title", "$.description", "$.url")
-_TIMES = ("$.photoTakenTime", "$.creationTime")
-_PLACES = ("$.geoData", "$.geoDataExif")
+_TEXTS = ("title", "description", "url")
+_TIMES = ("photoTakenTime", "creationTime")
+_PLACES = ("geoData", "geoDataExif")
 _DEGREES = ("latitude", "longitude", "altitude")
 
+# The fields in use; leaves stay variants, so that their JSON type can be checked.
+_SHAPE = "struct<{}>".format(
+    ",".join(
+        [f"{t}:variant" for t in _TEXTS]
+        + [f"{t}:struct<timestamp:variant,formatted:variant>" for t in _TIMES]
+        + [f"{p}:struct<latitude:variant,longitude:variant,altitude:variant>" for p in _PLACES]
+    )
+)
+
 
-def _kind(doc: Column, path: str) -> Column:
-    """Type name at the path; NULL where the path is absent."""
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+def _absent_or(leaf: Column, test: Column) -> Column:
+    return leaf.isNull() | F.coalesce(test, F.lit(False))
 
 
-def _absent_or(kind: Column, test: Column) -> Column:
-    return F.coalesce(test, F.lit(True)) | kind.isNull()
+def _as(leaf: Column, type_name: str) -> Column:
+    return F.try_variant_get(leaf, "$", type_name)
 
 
-def _valid(doc: Column) -> Column:
+def _valid(root: Column) -> Column:
     """All or nothing: one field of a wrong type makes the document unusable. Unknown fields
-    do not matter, and numbers given as text are fine for coordinates."""
-    checks = [F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))]
-    for path in _TEXTS + tuple(f"{t}.formatted" for t in _TIMES):
-        kind = _kind(doc, path)
-        checks.append(_absent_or(kind, kind.isin("STRING", "VOID")))
-    for path in _TIMES + _PLACES:
-        kind = _kind(doc, path)
-        checks.append(_absent_or(kind, kind.startswith("OBJECT") | (kind == "VOID")))
-    for path in _TIMES:
-        kind = _kind(doc, f"{path}.timestamp")
-        number = F.try_variant_get(doc, f"{path}.timestamp", "double")
+    do not matter, and numbers given as text are fine for coordinates. Blocks that are no
+    objects make ``root`` NULL already."""
+    checks = [root.isNotNull()]
+    for leaf in [root[t] for t in _TEXTS] + [root[t].formatted for t in _TIMES]:
+        checks.append(_absent_or(leaf, F.schema_of_variant(leaf).isin("STRING", "VOID")))
+    for leaf in [root[t].timestamp for t in _TIMES]:
+        kind, number = F.schema_of_variant(leaf), _as(leaf, "double")
         whole = kind.isin("STRING", "VOID", "BIGINT") | (
-            (kind == "DOUBLE") | kind.startswith("DECIMAL")
-        ) & (number == F.floor(number))
-        checks.append(_absent_or(kind, whole))
-    for path in _PLACES:
-        for axis in _DEGREES:
-            kind = _kind(doc, f"{path}.{axis}")
-            number = F.try_variant_get(doc, f"{path}.{axis}", "double")
-            checks.append(_absent_or(kind, (kind != "VOID") & number.isNotNull()))
+            ((kind == "DOUBLE") | kind.startswith("DECIMAL")) & (number == F.floor(number))
+        )
+        checks.append(_absent_or(leaf, whole))
+    for leaf in [root[p][axis] for p in _PLACES for axis in _DEGREES]:
+        # A JSON null is no number, unlike an absent field.
+        checks.append(_absent_or(leaf, _as(leaf, "double").isNotNull()))
     return reduce(lambda a, b: a & b, checks)
 
 
-def _epoch(doc: Column, path: str) -> Column:
-    text = strip(F.try_variant_get(doc, f"{path}.timestamp", "string"))
+def _epoch(block: Column) -> Column:
+    text = strip(_as(block.timestamp, "string"))
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
 
 
-def _coords(doc: Column, path: str) -> Column:
+def _coords(block: Column) -> Column:
     """(lat, lng) of a block; the exact origin stands for "no location"."""
+    lat, lng = (F.coalesce(_as(block[a], "double"), F.lit(0.0)) for a in _DEGREES[:2])
+    return F.when((lat != 0.0) | (lng != 0.0), F.struct(lat.alias("lat"), lng.alias("lng")))
 
-    def axis(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(doc, f"{path}.{name}", "double"), F.lit(0.0))
 
-    lat, lng = axis("latitude"), axis("longitude")
-    return F.when(
-        (lat != 0.0) | (lng != 0.0), F.struct(lat.alias("lat"), lng.alias("lng"))
-    )
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row: a projection would be inlined into every
+    expression using it, and filters on it pushed below, each repeating the work."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parse_sidecars(docs: DataFrame, text: str = "json") -> DataFrame:
     """Add raw_title (of any JSON object), valid, title, description, url, epoch, lat, lng and
     fingerprint. Broken text is not valid and never fails the job."""
-    doc = F.col("_doc")
-    parsed = docs.withColumn("_doc", F.try_parse_json(text)).withColumn("valid", _valid(doc))
-    title = F.when(_kind(doc, "$.title") == "STRING", F.try_variant_get(doc, "$.title", "string"))
-    valid = F.col("valid")
-
-    def if_valid(c: Column) -> Column:
-        return F.when(valid, c)
-
-    def text_at(path: str) -> Column:
-        return if_valid(F.try_variant_get(doc, path, "string"))
-
-    return (
-        parsed.withColumns(
-            {
-                "raw_title": title,
-                "title": if_valid(title),
-                "description": text_at("$.description"),
-                "url": text_at("$.url"),
-                "epoch": if_valid(F.coalesce(*[_epoch(doc, p) for p in _TIMES])),
-                "_at": if_valid(F.coalesce(*[_coords(doc, p) for p in _PLACES])),
-            }
-        )
-        .withColumns({"lat": F.col("_at.lat"), "lng": F.col("_at.lng")})
-        .withColumn(
-            "fingerprint",
-            sidecar_fingerprint(
-                valid, F.col("title"), F.col("description"), F.col("lat"), F.col("lng")
-            ),
-        )
-        .drop("_doc", "_at")
+    doc, root, valid = F.col("_doc"), F.col("_root"), F.col("_f.valid")
+    title = F.try_variant_get(doc, "$.title", "variant")
+    fields = F.struct(
+        _valid(root).alias("valid"),
+        F.when(F.schema_of_variant(title) == "STRING", _as(title, "string")).alias("raw_title"),
+        _as(root.description, "string").alias("description"),
+        _as(root.url, "string").alias("url"),
+        F.coalesce(*[_epoch(root[t]) for t in _TIMES]).alias("epoch"),
+        F.coalesce(*[_coords(root[p]) for p in _PLACES]).alias("at"),
+    )
+    rows = _once(docs, F.try_parse_json(text), "_doc")
+    rows = _once(_once(rows, F.try_variant_get(doc, "$", _SHAPE), "_root"), fields, "_f")
+
+    def if_valid(name: str) -> Column:
+        return F.when(valid, F.col(f"_f.{name}"))
+
+    rows = rows.withColumns(
+        {
+            "raw_title": F.col("_f.raw_title"),
+            "valid": valid,
+            "title": if_valid("raw_title"),
+            "description": if_valid("description"),
+            "url": if_valid("url"),
+            "epoch": if_valid("epoch"),
+            "lat": if_valid("at.lat"),
+            "lng": if_valid("at.lng"),
+        }
+    )
+    fingerprint = sidecar_fingerprint(
+        valid, F.col("title"), F.col("description"), F.col("lat"), F.col("lng")
     )
+    return rows.withColumn("fingerprint", fingerprint).drop("_doc", "_root", "_f")
