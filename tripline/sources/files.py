@@ -42,12 +42,8 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 
 def _texts(spark: SparkSession, root: str, glob: str, whole: bool) -> DataFrame:
-    reader = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("wholetext", str(whole).lower())
-    )
-    return reader.text(source_uri(root)).withColumn(
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return reader.text(source_uri(root), wholetext=whole).withColumn(
         "path", _relative(F.col("_metadata.file_path"), root)
     )
 

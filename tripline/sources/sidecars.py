@@ -33,11 +33,15 @@ def _as(leaf: Column, type_name: str) -> Column:
     return F.try_variant_get(leaf, "$", type_name)
 
 
-def _valid(root: Column) -> Column:
+def _valid(doc: Column, root: Column) -> Column:
     """All or nothing: one field of a wrong type makes the document unusable. Unknown fields
-    do not matter, and numbers given as text are fine for coordinates. Blocks that are no
-    objects make ``root`` NULL already."""
+    do not matter, and numbers given as text are fine for coordinates."""
     checks = [root.isNotNull()]
+    for block in _TIMES + _PLACES:
+        # Absent, null, or an object; what is no object reads as a NULL struct.
+        there = F.try_variant_get(doc, f"$.{block}", "variant")
+        nothing = there.isNull() | (F.schema_of_variant(there) == "VOID")
+        checks.append(root[block].isNotNull() | nothing)
     for leaf in [root[t] for t in _TEXTS] + [root[t].formatted for t in _TIMES]:
         checks.append(_absent_or(leaf, F.schema_of_variant(leaf).isin("STRING", "VOID")))
     for leaf in [root[t].timestamp for t in _TIMES]:
@@ -75,7 +79,7 @@ def parse_sidecars(docs: DataFrame, text: str = "json") -> DataFrame:
     doc, root, valid = F.col("_doc"), F.col("_root"), F.col("_f.valid")
     title = F.try_variant_get(doc, "$.title", "variant")
     fields = F.struct(
-        _valid(root).alias("valid"),
+        _valid(doc, root).alias("valid"),
         F.when(F.schema_of_variant(title) == "STRING", _as(title, "string")).alias("raw_title"),
         _as(root.description, "string").alias("description"),
         _as(root.url, "string").alias("url"),
