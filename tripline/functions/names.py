@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.text import extension_of, stem_of
@@ -61,19 +61,42 @@ def counter(stem: Column) -> Column:
     return F.when(digits != "", F.regexp_replace(digits, r"^0+(?=\d)", ""))
 
 
+def original_stem(stem: Column) -> Column:
+    """The stem without its "edited" ending; NULL if it has none."""
+    return F.when(stem.rlike(_EDITED), F.regexp_replace(stem, _EDITED, ""))
+
+
 def strip_edited(name: Column) -> Column:
     """The name without its "edited" ending; NULL if it has none."""
-    stem = stem_of(name)
-    return F.when(
-        stem.rlike(_EDITED), F.concat(F.regexp_replace(stem, _EDITED, ""), extension_of(name))
+    return F.concat(original_stem(stem_of(name)), extension_of(name))
+
+
+def with_name_parts(media: DataFrame) -> DataFrame:
+    """Take ``name`` apart once per row: _ext, _stem, _original (stem without the "edited"
+    ending, NULL for none), and core and counter of both. The array round trip keeps the
+    optimizer from repeating the patterns in every expression that uses a part."""
+
+    def once(df: DataFrame, **parts: Column) -> DataFrame:
+        packed = F.struct(*[c.alias(k) for k, c in parts.items()])
+        return df.select("*", F.explode(F.array(packed)).alias("_p")).select(
+            *df.columns, "_p.*"
+        )
+
+    rows = once(media, _ext=extension_of(F.col("name")))
+    stem = F.left("name", F.length("name") - F.length("_ext"))
+    rows = once(rows, _stem=stem, _original=original_stem(stem))
+    return once(
+        rows,
+        _core=counter_core(F.col("_stem")),
+        _n=counter(F.col("_stem")),
+        _original_core=counter_core(F.col("_original")),
+        _original_n=counter(F.col("_original")),
     )
 
 
-def sidecar_candidates(name: Column) -> Column:
-    """Exact sidecar names of a media name, most specific first, without repeats."""
-    stem, ext = stem_of(name), extension_of(name)
-    base, n = F.concat(counter_core(stem), ext), counter(stem)
-    end = F.lit(SIDECAR_EXTENSION)
+def candidates_of(name: Column, core: Column, ext: Column, n: Column) -> Column:
+    """Exact sidecar names of a media name taken apart, most specific first, no repeats."""
+    base, end = F.concat(core, ext), F.lit(SIDECAR_EXTENSION)
     names = F.array(
         F.concat(base, F.lit(SUPPLEMENT + "("), n, F.lit(")"), end),
         F.concat(base, F.lit("("), n, F.lit(")"), end),
@@ -82,13 +105,18 @@ def sidecar_candidates(name: Column) -> Column:
         F.concat(base, F.lit(SUPPLEMENT), end),
         F.concat(base, end),
     )
-    return F.array_distinct(F.filter(names, lambda c: c.isNotNull()))
+    # Drops NULLs (names with a counter where there is none) and repeats, in order.
+    return F.array_except(names, F.array(F.lit(None).cast("string")))
+
+
+def sidecar_candidates(name: Column) -> Column:
+    stem = stem_of(name)
+    return candidates_of(name, counter_core(stem), extension_of(name), counter(stem))
 
 
-def title_bases(name: Column) -> Column:
+def bases_of(core: Column, ext: Column) -> Column:
     """The two titles a media name may stand for: without its counter, and without extension."""
-    core = counter_core(stem_of(name))
-    return F.array(F.lower(F.concat(core, extension_of(name))), F.lower(core))
+    return F.array(F.lower(F.concat(core, ext)), F.lower(core))
 
 
 def sidecar_counter(name: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.geo import EARTH_RADIUS_KM
-from tripline.operators.runs import RUN_COLUMNS, TRACK, item_runs, merge_aggregates
+from tripline.operators.runs import RUN_COLUMNS, TRACK, item_runs, merge_runs
 
 # A jump of this many radii starts a new cluster whatever the centroid is: the centroid
 # stays within about one radius of the last item, as long as a radius is small on the
@@ -150,14 +150,14 @@ def cluster_runs(clustered: DataFrame, label: Column, by: Sequence[str] = TRACK)
     by = list(by)
     items = item_runs(clustered.withColumn("_label", label), F.col("_label"), [*by, "cluster_id"])
     # The labels of a cluster interleave in time: keep when each link was seen.
-    link = F.struct("first_us", "first_id", "first_url")
-    items = items.withColumn("_link", F.when(F.col("first_url").isNotNull(), link))
-    first_link = F.min("_link").alias("_link")
-    per_label = items.groupBy(*by, "cluster_id", "run_key").agg(*merge_aggregates(), first_link)
-    rank = F.struct(-F.col("n"), "first_us", "first_id")
+    seen = F.struct("first_us", "first_id", "first_url")
+    items = items.withColumn("_seen", F.when(F.col("first_url").isNotNull(), seen))
+    first_seen = F.min("_seen").alias("_seen")
+    per_label = merge_runs(items.groupBy(*by, "cluster_id", "run_key"), first_seen)
+    rank = F.struct((-F.col("n")).alias("n"), "first_us", "first_id", "run_key")
+    best = F.min(rank)["run_key"].alias("run_key")
     return (
-        per_label.groupBy(*by, "cluster_id")
-        .agg(F.min_by("run_key", rank).alias("run_key"), *merge_aggregates(), first_link)
-        .withColumn("first_url", F.col("_link.first_url"))
+        merge_runs(per_label.groupBy(*by, "cluster_id"), best, first_seen)
+        .withColumn("first_url", F.col("_seen.first_url"))
         .select(*by, "cluster_id", *RUN_COLUMNS)
     )

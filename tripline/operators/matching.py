@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.names import (
+    bases_of,
+    candidates_of,
     implied_media_name,
-    sidecar_candidates,
     sidecar_counter,
     strip_edited,
-    title_bases,
+    with_name_parts,
 )
-from tripline.functions.names import counter as name_counter
 from tripline.functions.text import stem_of
 from tripline.session import materialize
 
@@ -35,12 +35,12 @@ def _first_hit(hits: DataFrame, rank: Column) -> DataFrame:
 def match_exact(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """(path, sidecar) by exact names regardless of case; names of the unedited original come
     after the media's own. Of sidecars equal but for case the last one counts."""
-    own = sidecar_candidates(F.col("name"))
-    edited = F.when(
-        strip_edited(F.col("name")).isNotNull(), sidecar_candidates(strip_edited(F.col("name")))
-    )
-    names = F.concat(own, F.coalesce(edited, F.array().cast("array<string>")))
-    wanted = media.select("path", "dir", F.posexplode(names).alias("_rank", "_name")).select(
+    rows = with_name_parts(media.select("path", "dir", "name"))
+    ext, original = F.col("_ext"), F.concat("_original", "_ext")
+    own = candidates_of(F.col("name"), F.col("_core"), ext, F.col("_n"))
+    edited = candidates_of(original, F.col("_original_core"), ext, F.col("_original_n"))
+    names = F.when(F.col("_original").isNull(), own).otherwise(F.concat(own, edited))
+    wanted = rows.select("path", "dir", F.posexplode(names).alias("_rank", "_name")).select(
         "path", "dir", "_rank", F.lower("_name").alias("_name")
     )
     by_name = sidecars.groupBy("dir", F.lower("name").alias("_name")).agg(
@@ -69,16 +69,15 @@ def match_title(media: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.when(F.count(F.lit(1)) == 1, F.min("_sidecar")).alias("_only"),
         F.min(F.when(F.col("_n") == "0", F.col("_sidecar"))).alias("_plain"),
     )
-    edited = strip_edited(F.col("name"))
-    bases = F.concat(
-        title_bases(F.col("name")),
-        F.coalesce(F.when(edited.isNotNull(), title_bases(edited)), F.array().cast("array<string>")),
-    )
-    wanted = media.select(
+    rows = with_name_parts(media.select("path", "dir", "name"))
+    own = bases_of(F.col("_core"), F.col("_ext"))
+    edited = bases_of(F.col("_original_core"), F.col("_ext"))
+    bases = F.when(F.col("_original").isNull(), own).otherwise(F.concat(own, edited))
+    wanted = rows.select(
         "path",
         "dir",
         # A value that no counter has keeps rows without one off a common NULL key.
-        F.coalesce(name_counter(stem_of(F.col("name"))), F.lit("none")).alias("_n"),
+        F.coalesce("_n", F.lit("none")).alias("_n"),
         F.posexplode(bases).alias("_rank", "_title"),
     )
     found = wanted.join(by_title, ["dir", "_title"]).join(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,22 +58,24 @@ def item_runs(points: DataFrame, key: Column, by: Sequence[str] = TRACK) -> Data
     )
 
 
-def merge_aggregates() -> list[Column]:
-    """Aggregates that fuse the runs of one group into one run."""
-    start = F.struct("first_us", "first_id")
-    end = F.struct("last_us", "last_id")
-    return [
-        F.min("first_us").alias("first_us"),
-        F.min_by("first_id", start).alias("first_id"),
-        F.min_by("first_date", start).alias("first_date"),
-        F.max("last_us").alias("last_us"),
-        F.max_by("last_id", end).alias("last_id"),
-        F.max_by("last_date", end).alias("last_date"),
+def merge_runs(groups: GroupedData, *more: Column) -> DataFrame:
+    """Fuse the runs of each group into one run. Ends are taken as whole structs, which keeps
+    the number of aggregates per row small."""
+    start = F.struct("first_us", "first_id", "first_date")
+    end = F.struct("last_us", "last_id", "last_date")
+    link = F.struct("first_us", "first_id", "first_url")
+    fused = groups.agg(
+        F.min(start).alias("_start"),
+        F.max(end).alias("_end"),
         F.sum("sum_lat").alias("sum_lat"),
         F.sum("sum_lng").alias("sum_lng"),
         F.sum("n").alias("n"),
-        F.min_by("first_url", F.when(F.col("first_url").isNotNull(), start)).alias("first_url"),
-    ]
+        F.min(F.when(F.col("first_url").isNotNull(), link)).alias("_link"),
+        *more,
+    )
+    return fused.select("*", "_start.*", "_end.*", F.col("_link.first_url").alias("first_url")).drop(
+        "_start", "_end", "_link"
+    )
 
 
 def _starts_new(order) -> Column:
@@ -90,12 +92,12 @@ def coalesce_runs(runs: DataFrame, by: Sequence[str] = TRACK) -> DataFrame:
         "_piece", F.spark_partition_id()
     )
     inside = Window.partitionBy(*by, "_piece").orderBy("first_us", "first_id")
-    parts = (
-        pieces.withColumn("_new", _starts_new(inside))
-        .withColumn("_part", F.sum("_new").over(inside))
-        .groupBy(*by, "_piece", "_part")
-        .agg(F.first("run_key").alias("run_key"), *merge_aggregates())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    cut = pieces.withColumn("_new", _starts_new(inside)).withColumn(
+        "_part", F.sum("_new").over(inside.rowsBetween(*so_far))
     )
+    key = F.first("run_key").alias("run_key")
+    parts = merge_runs(cut.groupBy(*by, "_piece", "_part"), key)
     # 2. Only the first and last run of a piece can go on in a neighbour. The others get a
     #    group of their own, so the window below sees at most two rows per piece and track.
     parts = parts.withColumn(
@@ -105,12 +107,9 @@ def coalesce_runs(runs: DataFrame, by: Sequence[str] = TRACK) -> DataFrame:
     ).withColumn("_own", F.when(~F.col("_edge"), F.col("first_id")))
     across = Window.partitionBy(*by, "_own").orderBy("first_us", "first_id")
     goes_on = (F.lag("_piece").over(across) != F.col("_piece")) & (_starts_new(across) == 0)
-    return (
-        parts.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(across))
-        .groupBy(*by, "_own", "_run")
-        .agg(F.first("run_key").alias("run_key"), *merge_aggregates())
-        .select(*by, *RUN_COLUMNS)
-    )
+    run = F.sum(F.when(goes_on, 0).otherwise(1)).over(across.rowsBetween(*so_far))
+    runs_across = parts.withColumn("_run", run).groupBy(*by, "_own", "_run")
+    return merge_runs(runs_across, key).select(*by, *RUN_COLUMNS)
 
 
 def segment_runs(points: DataFrame, key: Column, by: Sequence[str] = TRACK) -> DataFrame:
