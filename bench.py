@@ -14,7 +14,7 @@ HEADLINE = (
     "located_with_place",
     "country_stays",
     "city_stays",
-    "leader_clusters_50km",
+    "leader_clusters",
     "rebuild_timelines",
     "timeline_document",
     "poi_rollup",

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tripline.operators.clusters import _km
 from tripline.operators.documents import timeline_summary
 from tripline.operators.ordered import number_rows
 from tripline.operators.runs import segment_runs
@@ -74,21 +76,74 @@ def test_empty(spark):
     assert city_stays(none).count() == 0
 
 
-def test_one_hot_track_over_many_pieces(spark):
-    """A single track, cut into range partitions at every place."""
+@pytest.fixture
+def many_pieces(spark):
+    """Keep all range partitions, however small: every order is cut into 32 pieces."""
+    keys = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def naive_runs(rows):
+    """[label, first hour, last hour, count] of maximal runs."""
+    runs = []
+    for hours, label in rows:
+        if runs and runs[-1][0] == label:
+            runs[-1][2:] = [hours, runs[-1][3] + 1]
+        else:
+            runs.append([label, hours, hours, 1])
+    return runs
+
+
+def naive_smooth(runs, min_hours):
+    while True:
+        for i in range(1, len(runs) - 1):
+            a, m, b = runs[i - 1 : i + 2]
+            if m[2] - m[1] < min_hours and a[0] == b[0]:
+                runs[i - 1 : i + 2] = [[a[0], a[1], b[2], a[3] + m[3] + b[3]]]
+                break
+        else:
+            return runs
+
+
+def test_one_hot_track_over_many_pieces(spark, many_pieces):
+    """A single track, cut into range partitions within runs, blips and clusters."""
     rng = random.Random(5)
-    rows = [(i / 3, rng.random(), rng.random(), rng.choice("AAAB"), "x") for i in range(3000)]
-    runs = segment_runs(points(spark, rows), F.col("cc")).orderBy("first_us").collect()
-    want = []
-    for i, row in enumerate(rows):
-        if want and want[-1][0] == row[3]:
-            want[-1][1] += 1
+    rows, cc = [], "A"
+    for i in range(2000):
+        cc = rng.choice("ABC") if rng.random() < 0.3 else cc
+        lat = {"A": 1.0, "B": 1.8, "C": 20.0}[cc]
+        rows.append((i * 2, lat + rng.random() / 5, 100 + rng.random() / 5, cc, cc.lower()))
+    p = points(spark, rows)
+    runs = segment_runs(p, F.col("cc")).orderBy("first_us").collect()
+    want = naive_runs([(r[0], r[3]) for r in rows])
+    assert [(r.run_key, r.n) for r in runs] == [(w[0], w[3]) for w in want]
+    got = [(s[0], s[3]) for s in spans(country_stays(p, 9))]
+    assert got == [(w[0], w[3]) for w in naive_smooth(want, 9)]
+
+    state, labels, ids = None, {}, []
+    for r in rows:
+        if state and _km(state[1], state[2], r[1], r[2]) <= 50:
+            state[3] += 1
+            state[1] += (r[1] - state[1]) / state[3]
+            state[2] += (r[2] - state[2]) / state[3]
         else:
-            want.append([row[3], 1, str(i)])
-    assert [[r.run_key, r.n, r.first_id] for r in runs] == want
+            state = [len(ids), r[1], r[2], 1]
+        ids.append(state[0])
+        labels.setdefault(state[0], []).append(r[4])
+    modal = {c: max(dict.fromkeys(ls), key=ls.count) for c, ls in labels.items()}
+    want = naive_smooth(naive_runs([(r[0], modal[c]) for r, c in zip(rows, ids)]), 9)
+    assert [(s[0], s[3]) for s in spans(city_stays(p, 50, 9))] == [(w[0], w[3]) for w in want]
 
 
-def test_numbering_across_pieces(spark):
+def test_numbering_across_pieces(spark, many_pieces):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     bad = number_rows(df, ["g"], ["v"]).where(F.col("position") != F.floor(F.col("v") / 2) + 1)
     assert bad.count() == 0

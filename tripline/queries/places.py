@@ -22,6 +22,14 @@ def _query(fn):
     return fn
 
 
+def _named(name):
+    def register(fn):
+        QUERIES[name] = fn
+        return fn
+
+    return register
+
+
 def _text(c):
     return F.col(c).cast("string").alias(c)
 
@@ -48,16 +56,16 @@ CENTER_LAT = "((cell_id % 2097152) + 0.5e0) / 131072e0 * 180e0 - 90e0"
 CENTER_LNG = "(((cell_id // 2097152) % 2097152) + 0.5e0) / 131072e0 * 360e0 - 180e0"
 
 
-@_query
+@_named("cell_of")
 def cell_of_points(spark, sf_dir):
     cell = cell_of(F.col("latitude"), F.col("longitude"))
     return sample.media(spark, sf_dir).select("media_id", cell.cast("string").alias("cell"))
 
 
-SQL["cell_of_points"] = f"WITH {b.MEDIA} SELECT media_id, CAST(base_cell AS VARCHAR) AS cell FROM media"
+SQL["cell_of"] = f"WITH {b.MEDIA} SELECT media_id, CAST(base_cell AS VARCHAR) AS cell FROM media"
 
 
-@_query
+@_named("cell_parent")
 def cell_parents(spark, sf_dir):
     cells = [
         cell_parent(F.col("base_cell"), level).cast("string").alias(f"level_{level}")
@@ -66,12 +74,12 @@ def cell_parents(spark, sf_dir):
     return sample.media(spark, sf_dir).select("media_id", *cells)
 
 
-SQL["cell_parents"] = f"""WITH {b.MEDIA} SELECT media_id, {
+SQL["cell_parent"] = f"""WITH {b.MEDIA} SELECT media_id, {
     ", ".join(f"CAST({b.parent_sql('base_cell', n)} AS VARCHAR) AS level_{n}" for n in LEVELS)
 } FROM media"""
 
 
-@_query
+@_named("cell_center")
 def cell_centers(spark, sf_dir):
     cell = F.col("geo_cell")
     return sample.geo_media(spark, sf_dir).where(cell.isNotNull()).select(
@@ -79,7 +87,7 @@ def cell_centers(spark, sf_dir):
     )
 
 
-SQL["cell_centers"] = f"""WITH {GEO} SELECT media_id, {CENTER_LAT} AS lat, {CENTER_LNG} AS lng
+SQL["cell_center"] = f"""WITH {GEO} SELECT media_id, {CENTER_LAT} AS lat, {CENTER_LNG} AS lng
 FROM (SELECT media_id, geo_cell AS cell_id FROM gm WHERE geo_cell IS NOT NULL)"""
 
 
@@ -256,14 +264,14 @@ SELECT CAST(sum(items) AS BIGINT) AS total_items,
   count(*) FILTER (WHERE asked) AS api_calls, CAST(0 AS BIGINT) AS errors FROM st"""
 
 
-@_query
+@_named("upsert_place")
 def upsert_places(spark, sf_dir):
     work = _work(spark, sf_dir)[3]
     found = places.enrich_places(work, sample.responses(spark, sf_dir))
     return _place_columns(upsert_place(sample.geo_place(spark, sf_dir), found))
 
 
-SQL["upsert_places"] = f"""WITH {GEO}, found AS (SELECT cell_id FROM cells JOIN good USING (cell_id) WHERE needs)
+SQL["upsert_place"] = f"""WITH {GEO}, found AS (SELECT cell_id FROM cells JOIN good USING (cell_id) WHERE needs)
 {FOUND} FROM found UNION ALL
 SELECT CAST(cell_id AS VARCHAR), {CENTER_LAT}, {CENTER_LNG}, CASE WHEN cell_id % 4 <> 0 THEN 'Old city' END,
   'Old area', 'XX', 'Old address' FROM gp WHERE cell_id NOT IN (SELECT cell_id FROM found)"""

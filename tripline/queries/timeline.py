@@ -23,6 +23,14 @@ def _query(fn):
     return fn
 
 
+def _named(name):
+    def register(fn):
+        QUERIES[name] = fn
+        return fn
+
+    return register
+
+
 def _text(c: str):
     return F.col(c).cast("string").alias(c)
 
@@ -67,22 +75,22 @@ SELECT track_id, media_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS t,
   CAST(local_date AS VARCHAR) AS local_date, lat, lng, cc, city, admin1, url FROM points"""
 
 
-@_query
+@_named("city_label")
 def city_label_of_points(spark, sf_dir):
     label = city_label(F.col("cc"), F.col("city"), F.col("admin1"))
     return _points(spark, sf_dir).select("media_id", label.alias("label"))
 
 
-SQL["city_label_of_points"] = f"WITH {POINTS} SELECT media_id, {b.LABEL} AS label FROM points"
+SQL["city_label"] = f"WITH {POINTS} SELECT media_id, {b.LABEL} AS label FROM points"
 
 
-@_query
+@_named("segment_runs")
 def segment_runs_by_country(spark, sf_dir):
     runs = segment_runs(_points(spark, sf_dir).where("cc <> ''"), F.col("cc"))
     return runs.select("track_id", "run_key", "first_id", "last_id", "n")
 
 
-SQL["segment_runs_by_country"] = f"""WITH {POINTS}, {COUNTRY}, {b.runs_sql("located", "cc")}
+SQL["segment_runs"] = f"""WITH {POINTS}, {COUNTRY}, {b.runs_sql("located", "cc")}
 SELECT track_id, key AS run_key, fi AS first_id, li AS last_id, n FROM runs"""
 
 
@@ -98,13 +106,13 @@ SQL["segment_runs_by_city"] = f"""WITH {POINTS}, {LABELLED}, {b.runs_sql("labell
 SELECT track_id, key AS run_key, fi AS first_id, li AS last_id, n FROM runs"""
 
 
-@_query
+@_named("smooth_runs")
 def smooth_runs_24h(spark, sf_dir):
     runs = segment_runs(_points(spark, sf_dir).where("cc <> ''"), F.col("cc"))
     return smooth_runs(runs, 24).select("track_id", "run_key", "first_id", "last_id", "n")
 
 
-SQL["smooth_runs_24h"] = (
+SQL["smooth_runs"] = (
     COUNTRY_SMOOTH
     + """ SELECT track_id, key AS run_key, fi AS first_id, li AS last_id,
   CAST(n AS BIGINT) AS n FROM smooth"""
@@ -124,22 +132,22 @@ def _clustered(spark, sf_dir):
     return leader_clusters(_points(spark, sf_dir).where(label.isNotNull()), 50.0), label
 
 
-@_query
+@_named("leader_clusters")
 def leader_clusters_50km(spark, sf_dir):
     return _clustered(spark, sf_dir)[0].select("track_id", "media_id", "cluster_id")
 
 
-SQL["leader_clusters_50km"] = f"""WITH RECURSIVE {POINTS}, {LABELLED}, {b.leader_sql("labelled")}
+SQL["leader_clusters"] = f"""WITH RECURSIVE {POINTS}, {LABELLED}, {b.leader_sql("labelled")}
 SELECT track_id, media_id, cid AS cluster_id FROM clus"""
 
 
-@_query
+@_named("stays")
 def stays_of_runs(spark, sf_dir):
     runs = segment_runs(_points(spark, sf_dir).where("cc <> ''"), F.col("cc"))
     return _stay_columns(stays(runs))
 
 
-SQL["stays_of_runs"] = (
+SQL["stays"] = (
     f"WITH {POINTS}, {COUNTRY}, {b.runs_sql('located', 'cc')} {b.stays_select('runs')}"
 )
 
@@ -166,7 +174,7 @@ def city_stays(spark, sf_dir):
 SQL["city_stays"] = f"{CITY_SMOOTH} {b.stays_select('smooth')}"
 
 
-@_query
+@_named("haversine_km")
 def haversine_from_origin(spark, sf_dir):
     km = haversine_km(F.lit(1.3), F.lit(103.8), F.col("latitude"), F.col("longitude"))
     return catalog.located_items(sample.media(spark, sf_dir)).select(
@@ -174,12 +182,12 @@ def haversine_from_origin(spark, sf_dir):
     )
 
 
-SQL["haversine_from_origin"] = f"""WITH {b.MEDIA} SELECT media_id, round(2 * 6371.0e0 * asin(sqrt(
+SQL["haversine_km"] = f"""WITH {b.MEDIA} SELECT media_id, round(2 * 6371.0e0 * asin(sqrt(
   pow(sin(radians(latitude - 1.3e0) / 2), 2) + cos(radians(1.3e0)) * cos(radians(latitude))
   * pow(sin(radians(longitude - 103.8e0) / 2), 2))), 3) AS km FROM media WHERE latitude IS NOT NULL"""
 
 
-@_query
+@_named("build_stays")
 def build_stays_city(spark, sf_dir):
     """City level with a region, a smaller radius and a shorter blip threshold."""
     return _stay_columns(
@@ -190,7 +198,7 @@ def build_stays_city(spark, sf_dir):
     )
 
 
-SQL["build_stays_city"] = f"""WITH RECURSIVE {b.points_sql(START, END, "AND country_code IN ('SG', 'TH')")},
+SQL["build_stays"] = f"""WITH RECURSIVE {b.points_sql(START, END, "AND country_code IN ('SG', 'TH')")},
 {LABELLED}, {b.leader_sql("labelled", "20")}, {b.modal_sql("clus")},
 named AS (SELECT c.* EXCLUDE (rn), m.label AS modal FROM clus c JOIN modal m USING (track_id, cid)),
 {b.runs_sql("named", "modal")}, {b.smooth_sql("runs", "6")} {b.stays_select("smooth")}"""
@@ -209,12 +217,12 @@ SQL["points_payload"] = f"""WITH {POINTS} SELECT track_id, strftime(t, '%Y-%m-%d
   round(lat, 5) AS lat, round(lng, 5) AS lng, cc, {b.LABEL} AS city, {ID_SQL} AS photo_id FROM points"""
 
 
-@_query
+@_named("photo_id")
 def photo_ids(spark, sf_dir):
     return sample.media(spark, sf_dir).select("media_id", photo_id(F.col("url")).alias("photo_id"))
 
 
-SQL["photo_ids"] = f"WITH {b.MEDIA} SELECT media_id, {ID_SQL} AS photo_id FROM media"
+SQL["photo_id"] = f"WITH {b.MEDIA} SELECT media_id, {ID_SQL} AS photo_id FROM media"
 
 
 def document_lines(spark, sf_dir, with_points=True):
