@@ -268,14 +268,10 @@ def ingest_stats(rows: DataFrame, prefiltered: DataFrame | None = None) -> DataF
     )
     if prefiltered is None:
         return counts
-    more = prefiltered.agg(F.count(F.lit(1)).alias("_more"))
-    return (
-        counts.join(F.broadcast(more))  # one row each
-        .withColumns(
-            {"total": F.col("total") + F.col("_more"), "filtered": F.col("filtered") + F.col("_more")}
-        )
-        .drop("_more")
-    )
+    n = F.count(F.lit(1))
+    left_out = prefiltered.agg(n.alias("total"), n.alias("filtered"))
+    both = counts.unionByName(left_out, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in counts.columns])
 
 
 def quarantine(rows: DataFrame) -> DataFrame:
