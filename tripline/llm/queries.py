@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripline.llm import mixing, secrets, sharding, simhash
+from tripline.llm import decontam, mixing, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontam.digest(decontam.contaminated(*tables))
+
+
 QUERIES = {
     "op5_entropy_mixing": op5_entropy_mixing,
     "op2_ring_sharding": op2_ring_sharding,
     "op4_secret_scans": op4_secret_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
