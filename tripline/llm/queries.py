@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripline.llm import decontam, mixing, secrets, sharding, simhash
+from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op5_entropy_mixing": op5_entropy_mixing,
     "op2_ring_sharding": op2_ring_sharding,
     "op4_secret_scans": op4_secret_scans,
+    "op7_repeated_phrases": op7_repeated_phrases,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
