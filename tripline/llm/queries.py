@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash
+from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.place_rows(_table(spark, sf_dir, "documents"), 16))
 
@@ -37,6 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segment_topk": op1_segment_topk,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op2_ring_sharding": op2_ring_sharding,
     "op4_secret_scans": op4_secret_scans,
@@ -45,4 +50,21 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_segment_topk": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
+    """,
+}
