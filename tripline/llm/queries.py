@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, topk
+from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, suffix_tree, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontam.digest(decontam.contaminated(*tables))
@@ -47,16 +51,17 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op7_repeated_phrases": op7_repeated_phrases,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op1_segment_topk": """
         WITH e AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
             FROM e q JOIN e c ON q.vec_id <> c.vec_id
