@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, suffix_tree, topk
+from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, suffix_tree, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(toxicity.score(*(_table(spark, sf_dir, name) for name in ("documents", "labels"))))
+
+
 def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_entropy_mixing": op5_entropy_mixing,
     "op2_ring_sharding": op2_ring_sharding,
     "op4_secret_scans": op4_secret_scans,
+    "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_repeated_phrases": op7_repeated_phrases,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_tree_scores": op9_suffix_tree_scores,

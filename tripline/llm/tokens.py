@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: All of ASCII but letters and the apostrophe: what is left are words without punctuation.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[39, *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -53,27 +56,46 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    gaps: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, from all its bytes."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        base = self.starts[0]
-        data = self.data[base:]
-        starts = self.starts - base
+    def _values(self) -> np.ndarray:
+        """What each byte from the first word on adds to its word's hash."""
+        data = self.data[self.starts[0] :]
+        starts = self.starts - self.starts[0]
         spans = np.diff(np.append(starts, len(data)))
         at = np.arange(len(data), dtype=np.int64) - np.repeat(starts, spans)
         with np.errstate(over="ignore"):
             value = _weights(_power_of_two(int(spans.max()) + 1))[at]
             value *= data.astype(np.uint64) + np.uint64(1)
-            value[SEPARATOR[data]] = 0
-            total = np.add.reduceat(value, starts)
+        value[self.gaps[data]] = 0
+        return value
+
+    def hashes(self) -> np.ndarray:
+        """64 bits for each word, from all its bytes."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(self._values(), self.starts - self.starts[0])
             return mix(total + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def prefix_hashes(self, lengths: list[int]) -> list[np.ndarray]:
+        """For each length in bytes the hash of the words' beginnings; 0 for words not longer."""
+        if not len(self.starts):
+            return [np.zeros(0, dtype=np.uint64) for _ in lengths]
+        out = []
+        with np.errstate(over="ignore"):
+            sums = np.append(np.uint64(0), np.cumsum(self._values()))
+            starts = self.starts - self.starts[0]
+            for n in lengths:
+                longer = self.ends - self.starts > n
+                value = mix(sums[np.where(longer, starts + n, starts)] - sums[starts] + np.uint64(n))
+                out.append(np.where(longer, value, np.uint64(0)))
+        return out
+
     def valid(self, n: int) -> np.ndarray:
         """Start positions of all runs of ``n`` words inside one text."""
         total = len(self.starts)
@@ -99,8 +121,9 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix(total)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow string array; null and empty texts have none."""
+def words_of(texts: pa.Array, lower: bool = False, gaps: np.ndarray = SEPARATOR) -> Words:
+    """Words of an Arrow string array; null and empty texts have none. ``gaps``: which bytes
+    stand between words."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     if not pa.types.is_large_string(texts.type):
@@ -111,7 +134,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     bounds = bounds - bounds[0]
     if lower:
         data = LOWER[data]
-    gap = SEPARATOR[data]
+    gap = gaps[data]
     n = len(data)
     before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
     before[1:] = gap[:-1]
@@ -120,7 +143,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     after[bounds[bounds > 0] - 1] = True
     starts = np.flatnonzero(~gap & before)
     ends = np.flatnonzero(~gap & after) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, bounds))
+    return Words(data, starts, ends, np.searchsorted(starts, bounds), gaps)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
