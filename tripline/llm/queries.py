@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripline.llm import decontam, mixing, phrases, secrets, sharding, simhash, suffix_tree, topk, toxicity
+from tripline.llm import decontam, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.place_rows(_table(spark, sf_dir, "documents"), 16))
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is a host; its sections by language are its paths."""
+    documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality.digest(quality.score(documents, labels, F.col("source"), F.concat_ws("/", "source", "lang")))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -52,6 +59,7 @@ QUERIES = {
     "op1_segment_topk": op1_segment_topk,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op2_ring_sharding": op2_ring_sharding,
+    "op3_quality_bayes": op3_quality_bayes,
     "op4_secret_scans": op4_secret_scans,
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_repeated_phrases": op7_repeated_phrases,
