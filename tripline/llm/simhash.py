@@ -70,17 +70,17 @@ def majority_bits(digests: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``id`` and ``fp`` (the 64 bits as a signed long) of every row of id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 fp = majority_bits(*shingle_digests(part.column("text"), size))
-                yield pa.record_batch([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, fp long")
+    given = docs.select("id", "text")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -195,20 +195,26 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return groups.mapInArrow(_stars(radius), "a long, b long").distinct()
 
 
+def near_duplicates_by(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """``docs``: id (of any type), text. Adds ``fp`` and ``component``, the least fingerprint
+    of each row's component, in place of the text."""
+    fps = materialize(fingerprints(docs, size), "simhash-fps")
+    distinct = fps.select("fp").distinct()
+    labels = connected_components(links(distinct, radius))
+    # Only linked fingerprints have a label; each of the others is a component of its own.
+    return fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "id", "fp", F.coalesce("label", "fp").alias("component")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, radius: int = 3
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and
     ``component_id``, the smallest id reachable over links."""
-    fps = materialize(fingerprints(docs, id_column, text_column, size), "simhash-fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(links(distinct, radius))
-    # Only linked fingerprints have a label; each of the others is a component of its own.
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
-    )
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    marked = materialize(near_duplicates_by(given, size, radius), "simhash-components")
+    least = marked.groupBy("component").agg(F.min("id").alias("component_id"))
+    return marked.join(least, "component").select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
