@@ -40,7 +40,7 @@ def test_odd_rows(spark):
 def test_hash_is_sparks_xxhash64(spark):
     import pyarrow as pa
 
-    digests, first = simhash.shingle_digests(pa.array(["É  bà x\nC d"]))
+    digests, first = simhash.shingle_digests(pa.array(["É  bà x\nC d"]))
     want = [r[0] % 2**64 for r in spark.sql("select xxhash64(s) from values ('É bà x'), ('bà x c'), ('x c d') as t(s)").collect()]
     assert digests.tolist() == want and first.tolist() == [0, 3]
 
