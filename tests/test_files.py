@@ -48,15 +48,15 @@ def test_matching_cases(spark):
     listing, docs, want = [], [], {}
     for i, (media, sidecars, expected) in enumerate(CASES):
         d = f"d{i}"
-        listing += [(f"{d}/{n}", d, n) for n in [*media, *sidecars]]
+        listing += [(1, f"{d}/{n}", d, n) for n in [*media, *sidecars]]
         docs += [
-            (f"{d}/{n}", d, n, json.dumps({} if t is None else {"title": t}))
+            (1, f"{d}/{n}", d, n, json.dumps({} if t is None else {"title": t}))
             for n, t in sidecars.items()
         ]
         want |= {f"{d}/{m}": (f"{d}/{s}" if s else None) for m, s in expected.items()}
-    files_, _ = media_side(spark.createDataFrame(listing, "path string, dir string, name string"))
+    files_, _ = media_side(spark.createDataFrame(listing, "track_id long, path string, dir string, name string"))
     parsed = parse_sidecars(
-        spark.createDataFrame(docs, "path string, dir string, name string, json string")
+        spark.createDataFrame(docs, "track_id long, path string, dir string, name string, json string")
     )
     got = {r.path: r.sidecar for r in match_sidecars(files_, parsed).collect()}
     assert got == want
@@ -112,12 +112,12 @@ def tree(tmp_path):
 
 def _run(spark, root, catalog, **kw):
     exif = spark.createDataFrame(
-        [], "path string, datetime_text string, lat double, lng double, perceptual_hash string, "
+        [], "track_id long, path string, datetime_text string, lat double, lng double, perceptual_hash string, "
         "meta map<string,string>",
     )
     zones = spark.createDataFrame([], "cell long, tz string")
     listing = files.list_files(spark, root).withColumn("track_id", F.lit(1).cast("long"))
-    docs = files.read_sidecar_documents(spark, root)
+    docs = files.read_sidecar_documents(spark, root).withColumn("track_id", F.lit(1).cast("long"))
     return ingest(listing, docs, exif, zones, catalog, **kw)
 
 
@@ -167,3 +167,87 @@ def test_saved_documents(spark, tmp_path):
     assert listed == [("b", "b", "2021", 0), ("a", "A", "2020", 2)]
     knobs = files.load_knobs(found).collect()
     assert [(k.id, k.level, k.merge_km, k.min_hours) for k in knobs] == [("a", "city", 20.0, None)]
+
+
+def test_equal_trees_of_two_tracks_do_not_mix(spark):
+    """Paths are relative to each track's root, so both tracks hold P/IMG_1.jpg."""
+    from pyspark.sql import functions as F
+
+    from tripline.operators import resolve
+    from tripline.plans.ingest import ingest
+
+    names = ["IMG_1.jpg", "IMG_1.jpg.json", "holiday_at_the_long_beach.jpg", "holiday_at_the_long.json"]
+    listing = spark.createDataFrame(
+        [(t, f"P/{n}", "P", n, 10) for t in (1, 2) for n in names],
+        "track_id long, path string, dir string, name string, size long",
+    ).withColumn("mtime", F.lit("2021-05-06").cast("timestamp"))
+    docs = spark.createDataFrame(
+        [
+            (t, f"P/{n}", "P", n, json.dumps({"title": n[:-5], "url": f"u{t}{n}", "photoTakenTime": {"timestamp": "1600000000"},
+              "geoData": {"latitude": 10.0 * t, "longitude": 20.0}}))
+            for t in (1, 2) for n in names if n.endswith("json")
+        ],
+        "track_id long, path string, dir string, name string, json string",
+    )
+    exif = spark.createDataFrame(
+        [(t, "P/IMG_1.jpg", None, None, None, h, None) for t in (1, 2) for h in ("h", "g")],
+        "track_id long, path string, datetime_text string, lat double, lng double, perceptual_hash string, meta map<string,string>",
+    )
+    zones = spark.createDataFrame([(1, "Asia/Tokyo"), (1, "UTC")], "cell long, tz string")
+    none = spark.createDataFrame([], resolve.CATALOG_DDL)
+    got = sorted((r.track_id, r.file_name, r.url, r.latitude) for r in ingest(listing, docs, exif, zones, none).catalog.collect())
+    assert got == sorted((t, n, f"u{t}{s}", 10.0 * t) for t in (1, 2) for n, s in ((names[0], names[1]), (names[2], names[3])))
+
+
+def test_a_border_cell_has_one_zone(spark):
+    from tripline.functions.geo import cell_of, cell_parent
+    from tripline.operators.resolve import TZ_LEVEL, assign_timezone
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, None)], "path string, latitude double, longitude double")
+    cell = rows.select(cell_parent(cell_of(F.col("latitude"), F.col("longitude")), TZ_LEVEL).alias("cell")).where("cell is not null")
+    zones = cell.crossJoin(spark.createDataFrame([("UTC",), ("Asia/Tokyo",)], "tz string"))
+    assert sorted((r.path, r.zone) for r in assign_timezone(rows, zones).collect()) == [("a", "Asia/Tokyo"), ("b", None)]
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [(0.0005, "0.0005"), (-0.000123, "-0.000123"), (1e-7, "0.0000001"), (51.5, "51.5"), (-0.0, "-0.0"), (12345678.25, "12345678.25"), (9.5e-5, "0.000095")],
+)
+def test_decimal_text(spark, value, text):
+    from pyspark.sql import functions as F
+
+    from tripline.sinks.export import decimal_text
+
+    assert spark.range(1).select(decimal_text(F.lit(value))).first()[0] == text
+
+
+def test_strip_takes_every_kind_of_blank(spark):
+    from pyspark.sql import functions as F
+
+    from tripline.functions.text import strip
+
+    assert spark.range(1).select(strip(F.lit("　  Tokyo  "))).first()[0] == "Tokyo"
+
+
+def test_listing_loses_nothing(spark, tmp_path):
+    """A root with a blank, names that begin with ``_`` or ``.``, and hidden folders."""
+    root = tmp_path / "Take out" / "Google Photos"
+    want = {}
+    for i, p in enumerate(["a b/IMG 1.jpg", "a b/_DSC0001.JPG", "a b/.x.jpg", "_album/deep/IMG_2.jpg", "_album/_n.jpg", "top+%41.jpg", "c/d/_e/f.jpg"]):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(b"x" * (i + 1))
+        want[p] = (p.rpartition("/")[0], p.rpartition("/")[2], i + 1)
+    (root / "a b/IMG 1.jpg.json").write_text("{}")
+    got = {r.path: (r.dir, r.name, r.size) for r in files.list_files(spark, str(root), "*.[jJ][pP][gG]").collect()}
+    assert got == want
+    assert [(r.path, r.dir) for r in files.read_sidecar_documents(spark, str(root)).collect()] == [("a b/IMG 1.jpg.json", "a b")]
+    table = spark.createDataFrame([(f"{root}/{p}", n) for p, (_, _, n) in want.items()], "path string, size long").selectExpr("*", "timestamp'2020-01-01' as mtime")
+    assert {r.path: (r.dir, r.name, r.size) for r in files.list_inventory(table, str(root)).collect()} == want
+
+
+def test_packed_sidecars_keep_their_paths(spark, tmp_path):
+    docs = spark.createDataFrame([("P/_DSC1.JPG.json", '{"title":"a\\nb"}'), ("Q r/x.json", "{bad")], "path string, json string")
+    files.pack_sidecars(docs).write.text(str(tmp_path / "packs"))
+    got = files.read_sidecar_documents(spark, str(tmp_path / "packs"), packed=True).collect()
+    assert sorted((r.path, r.dir, r.name, r.json) for r in got) == [("P/_DSC1.JPG.json", "P", "_DSC1.JPG.json", '{"title":"a\\nb"}'), ("Q r/x.json", "Q r", "x.json", "{bad")]

@@ -21,14 +21,14 @@ def _listing(spark, d, names):
 def test_ingest_stream(spark, tmp_path):
     docs = spark.createDataFrame(
         [
-            (f"{d}/a.jpg.json", d, "a.jpg.json",
+            (1, f"{d}/a.jpg.json", d, "a.jpg.json",
              json.dumps({"title": "a.jpg", "url": f"u-{d}", "photoTakenTime": {"timestamp": "1500000000"}}))
             for d in ("x", "y")
         ],
-        "path string, dir string, name string, json string",
+        "track_id long, path string, dir string, name string, json string",
     )
     exif = spark.createDataFrame(
-        [], "path string, datetime_text string, lat double, lng double, perceptual_hash string, "
+        [], "track_id long, path string, datetime_text string, lat double, lng double, perceptual_hash string, "
         "meta map<string,string>",
     )
     zones = spark.createDataFrame([], "cell long, tz string")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space (``trim`` only takes blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim every kind of white space, also beyond ASCII (``trim`` only takes blanks)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -78,20 +78,23 @@ def dangling_links(media: DataFrame, place: DataFrame) -> DataFrame:
 def load_points(
     media: DataFrame,
     place: DataFrame,
-    start: Column | str,
-    end: Column | str,
+    start: Column | str | None = None,
+    end: Column | str | None = None,
     region: Sequence[str] | None = None,
     by: Sequence[str] = ("track_id",),
 ) -> DataFrame:
-    """Located items with ``start <= taken_at < end`` (UTC) and their place names; ``region``
-    keeps the listed countries. The time range is on the scanned column, so it is pushed down."""
+    """Located items with ``start <= taken_at < end`` (UTC; a bound of None is left out) and
+    their place names; ``region`` keeps the listed countries. The time range is on the scanned
+    column, so it is pushed down."""
 
     def instant(v: Column | str) -> Column:
         return v if isinstance(v, Column) else F.lit(v).cast("timestamp")
 
-    window = media.where(
-        (F.col("taken_at") >= instant(start)) & (F.col("taken_at") < instant(end))
-    )
+    window = media
+    if start is not None:
+        window = window.where(F.col("taken_at") >= instant(start))
+    if end is not None:
+        window = window.where(F.col("taken_at") < instant(end))
     rows = located_with_place(window, place)
     if region:
         rows = rows.where(F.upper("country_code").isin([c.upper() for c in region]))

@@ -1,12 +1,13 @@
 """Match media files to their sidecars, by equi-joins only.
 
 Three tiers, the first hit counts: exact candidate names, the title inside the document,
-and a cut sidecar name that is a prefix of one media name. All within one folder. Every
+and a cut sidecar name that is a prefix of one media name. All within one folder of one track:
+paths are relative to a track's root, so equal paths of two tracks are different files. Every
 right side is unique in its join key, so no join multiplies rows, and the keys hold a name
 besides the folder, so a folder with a third of all files spreads over the cluster.
 
-``files`` has dir, name, path (all files that are not sidecars, plus ``kind``);
-``sidecars`` has dir, name, path and raw_title.
+``files`` has track_id, dir, name, path (all files that are not sidecars, plus ``kind``);
+``sidecars`` has track_id, dir, name, path and raw_title.
 """
 
 from __future__ import annotations
@@ -26,37 +27,39 @@ from tripline.functions.text import stem_of
 from tripline.session import materialize
 
 _MIN_PREFIX = 6
+FILE = ["track_id", "path"]
+FOLDER = ["track_id", "dir"]
 
 
 def _first_hit(hits: DataFrame, rank: Column) -> DataFrame:
-    return hits.groupBy("path").agg(F.min_by("sidecar", rank).alias("sidecar"))
+    return hits.groupBy(*FILE).agg(F.min_by("sidecar", rank).alias("sidecar"))
 
 
 def match_exact(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(path, sidecar) by exact names regardless of case; names of the unedited original come
+    """(track_id, path, sidecar) by exact names regardless of case; names of the unedited original come
     after the media's own. Of sidecars equal but for case the last one counts."""
-    rows = with_name_parts(media.select("path", "dir", "name"))
+    rows = with_name_parts(media.select(*FILE, "dir", "name"))
     ext, original = F.col("_ext"), F.concat("_original", "_ext")
     own = candidates_of(F.col("name"), F.col("_core"), ext, F.col("_n"))
     edited = candidates_of(original, F.col("_original_core"), ext, F.col("_original_n"))
     names = F.when(F.col("_original").isNull(), own).otherwise(F.concat(own, edited))
-    wanted = rows.select("path", "dir", F.posexplode(names).alias("_rank", "_name")).select(
-        "path", "dir", "_rank", F.lower("_name").alias("_name")
+    wanted = rows.select(*FILE, "dir", F.posexplode(names).alias("_rank", "_name")).select(
+        *FILE, "dir", "_rank", F.lower("_name").alias("_name")
     )
-    by_name = sidecars.groupBy("dir", F.lower("name").alias("_name")).agg(
+    by_name = sidecars.groupBy(*FOLDER, F.lower("name").alias("_name")).agg(
         F.max("path").alias("sidecar")
     )
-    return _first_hit(wanted.join(by_name, ["dir", "_name"]), F.col("_rank"))
+    return _first_hit(wanted.join(by_name, [*FOLDER, "_name"]), F.col("_rank"))
 
 
 def match_title(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(path, sidecar) by the title inside. Of several sidecars with the title the one with the
+    """(track_id, path, sidecar) by the title inside. Of several sidecars with the title the one with the
     media's counter counts, else the only one, else the first without a counter."""
     title = F.col("raw_title")
     titles = (
         sidecars.where(title != "")
         .select(
-            "dir",
+            *FOLDER,
             sidecar_counter(F.col("name")).alias("_n"),
             F.col("path").alias("_sidecar"),
             F.explode(F.array_distinct(F.array(F.lower(title), F.lower(stem_of(title))))).alias(
@@ -64,69 +67,76 @@ def match_title(media: DataFrame, sidecars: DataFrame) -> DataFrame:
             ),
         )
     )
-    by_counter = titles.groupBy("dir", "_title", "_n").agg(F.min("_sidecar").alias("_same"))
-    by_title = titles.groupBy("dir", "_title").agg(
+    by_counter = titles.groupBy(*FOLDER, "_title", "_n").agg(F.min("_sidecar").alias("_same"))
+    by_title = titles.groupBy(*FOLDER, "_title").agg(
         F.when(F.count(F.lit(1)) == 1, F.min("_sidecar")).alias("_only"),
         F.min(F.when(F.col("_n") == "0", F.col("_sidecar"))).alias("_plain"),
     )
-    rows = with_name_parts(media.select("path", "dir", "name"))
+    rows = with_name_parts(media.select(*FILE, "dir", "name"))
     own = bases_of(F.col("_core"), F.col("_ext"))
     edited = bases_of(F.col("_original_core"), F.col("_ext"))
     bases = F.when(F.col("_original").isNull(), own).otherwise(F.concat(own, edited))
     wanted = rows.select(
-        "path",
+        *FILE,
         "dir",
         # A value that no counter has keeps rows without one off a common NULL key.
         F.coalesce("_n", F.lit("none")).alias("_n"),
         F.posexplode(bases).alias("_rank", "_title"),
     )
-    found = wanted.join(by_title, ["dir", "_title"]).join(
-        by_counter, ["dir", "_title", "_n"], "left"
+    found = wanted.join(by_title, [*FOLDER, "_title"]).join(
+        by_counter, [*FOLDER, "_title", "_n"], "left"
     )
     hits = found.withColumn("sidecar", F.coalesce("_same", "_only", "_plain"))
     return _first_hit(hits.where(F.col("sidecar").isNotNull()), F.col("_rank"))
 
 
 def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) -> DataFrame:
-    """(path, sidecar) by a cut name: what the sidecar name implies is a prefix of the media
+    """(track_id, path, sidecar) by a cut name: what the sidecar name implies is a prefix of the media
     name, at least 6 characters and half of it long, and starts exactly one file of the
     folder. The longest counts; two sidecars of that same prefix are refused."""
     implied = (
-        sidecars.select("dir", implied_media_name(F.col("name")).alias("_prefix"), "path")
+        sidecars.select(*FOLDER, implied_media_name(F.col("name")).alias("_prefix"), "path")
         .where(F.length("_prefix") >= _MIN_PREFIX)
-        .groupBy("dir", "_prefix")
+        .groupBy(*FOLDER, "_prefix")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_sidecar"))
     )
     target = F.lower(F.coalesce(strip_edited(F.col("name")), F.col("name")))
     shortest = F.greatest(F.lit(_MIN_PREFIX), F.floor(F.length("_target") / 2).cast("int"))
     prefixes = (
-        media.select("path", "dir", target.alias("_target"))
+        media.select(*FILE, "dir", target.alias("_target"))
         .where(F.length("_target") >= _MIN_PREFIX)
         .withColumn("_len", F.explode(F.sequence(shortest, F.length("_target"))))
         .withColumn("_prefix", F.left("_target", F.col("_len")))
     )
-    pairs = prefixes.join(implied, ["dir", "_prefix"])
-    # How many files start with a prefix: only prefixes in question, only at their lengths.
-    asked = pairs.select("dir", "_prefix").distinct()
-    lengths = asked.groupBy("dir").agg(F.collect_set(F.length("_prefix")).alias("_lens"))
+    pairs = prefixes.join(implied, [*FOLDER, "_prefix"])
+    # How many files start with a prefix: only prefixes in question. They meet the files by
+    # their first characters, which all of them have, so a large folder spreads over its names.
+    asked = pairs.select(*FOLDER, "_prefix").distinct()
+    lead = [*FOLDER, "_lead"]
+    lengths = (
+        asked.withColumn("_lead", F.left("_prefix", F.lit(_MIN_PREFIX)))
+        .groupBy(*lead)
+        .agg(F.collect_set(F.length("_prefix")).alias("_lens"))
+    )
     starts = (
-        siblings.select("dir", F.lower("name").alias("_file"))
-        .join(lengths, "dir")
+        siblings.select(*FOLDER, F.lower("name").alias("_file"))
+        .withColumn("_lead", F.left("_file", F.lit(_MIN_PREFIX)))
+        .join(lengths, lead)
         .withColumn("_len", F.explode("_lens"))
         .where(F.length("_file") >= F.col("_len"))
-        .select("dir", F.left("_file", F.col("_len")).alias("_prefix"))
-        .join(asked, ["dir", "_prefix"], "left_semi")
-        .groupBy("dir", "_prefix")
+        .select(*FOLDER, F.left("_file", F.col("_len")).alias("_prefix"))
+        .join(asked, [*FOLDER, "_prefix"], "left_semi")
+        .groupBy(*FOLDER, "_prefix")
         .agg(F.count(F.lit(1)).alias("_files"))
         .where("_files = 1")
     )
-    hits = pairs.join(starts, ["dir", "_prefix"], "left_semi").select(
-        "path", F.when(F.col("_n") == 1, F.col("_sidecar")).alias("sidecar"), "_len"
+    hits = pairs.join(starts, [*FOLDER, "_prefix"], "left_semi").select(
+        *FILE, F.when(F.col("_n") == 1, F.col("_sidecar")).alias("sidecar"), "_len"
     )
-    longest = hits.groupBy("path").agg(
+    longest = hits.groupBy(*FILE).agg(
         F.max_by(F.struct("sidecar"), "_len").alias("_best")
     )
-    return longest.select("path", F.col("_best.sidecar").alias("sidecar")).where(
+    return longest.select(*FILE, F.col("_best.sidecar").alias("sidecar")).where(
         "sidecar is not null"
     )
 
@@ -136,17 +146,17 @@ def match_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     an exact hit are written once; the later tiers work on them alone."""
     media = files.where(F.col("kind").isNotNull())
     exact = materialize(
-        media.select("path", "dir", "name").join(match_exact(media, sidecars), "path", "left"),
+        media.select(*FILE, "dir", "name").join(match_exact(media, sidecars), FILE, "left"),
         "exact",
     )
     left = exact.where(F.col("sidecar").isNull()).drop("sidecar")
     later = (
-        left.join(match_title(left, sidecars).withColumnRenamed("sidecar", "_b"), "path", "left")
+        left.join(match_title(left, sidecars).withColumnRenamed("sidecar", "_b"), FILE, "left")
         .join(
-            match_prefix(left, sidecars, files).withColumnRenamed("sidecar", "_c"), "path", "left"
+            match_prefix(left, sidecars, files).withColumnRenamed("sidecar", "_c"), FILE, "left"
         )
         .select(
-            "path",
+            *FILE,
             F.coalesce("_b", "_c").alias("sidecar"),
             F.when(F.col("_b").isNotNull(), "title")
             .when(F.col("_c").isNotNull(), "prefix")
@@ -155,6 +165,6 @@ def match_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     )
     return (
         exact.where(F.col("sidecar").isNotNull())
-        .select("path", "sidecar", F.lit("exact").alias("tier"))
+        .select(*FILE, "sidecar", F.lit("exact").alias("tier"))
         .unionByName(later)
     )

@@ -21,7 +21,6 @@ from tripline.functions.labels import COMPONENTS_DDL, json_list, place_area, pla
 
 MONTHLY_LOOKUPS = 10_000
 RESPONSE_DDL = f"array<struct<formatted_address:string,address_components:{COMPONENTS_DDL}>>"
-_ADDRESS_CHARS = 255
 
 
 def pending_geocode(media: DataFrame, recalculate: bool = False) -> DataFrame:
@@ -99,9 +98,10 @@ def enrich_places(
     """Place rows of the worklist cells that have a result. ``responses`` has (cell_id,
     response): the lookup itself is done outside and lands as a table."""
     at = F.current_timestamp() if now is None else now
+    single = responses.groupBy("cell_id").agg(F.min("response").alias("response"))
     found = (
         worklist.select("cell_id")
-        .join(responses, "cell_id")
+        .join(single, "cell_id")
         .withColumn("_r", _first_result(F.col("response")))
         .where(F.col("_r").isNotNull())
     )
@@ -114,9 +114,7 @@ def enrich_places(
         place_city(F.col("_c")).alias("city"),
         place_area(F.col("_c")).alias("admin1"),
         place_country(F.col("_c")).alias("country_code"),
-        F.substring(F.coalesce("_r.formatted_address", F.lit("")), 1, _ADDRESS_CHARS).alias(
-            "formatted_address"
-        ),
+        F.coalesce("_r.formatted_address", F.lit("")).alias("formatted_address"),
         F.to_json("_c").alias("geocode_raw"),
         at.alias("geocoded_at"),
     )
@@ -127,14 +125,15 @@ def link_media(
     cells: DataFrame,
     found: DataFrame,
     level: int = PLACE_LEVEL,
-    key: str = "media_id",
+    key: str | Sequence[str] = "media_id",
 ) -> DataFrame:
     """(key, geo_cell) of every pending item whose cell was known already or was found now."""
+    keys = [key] if isinstance(key, str) else list(key)
     known = cells.where(~F.col("needs_lookup")).select("cell_id")
     linked = known.unionByName(found.select("cell_id")).withColumnRenamed("cell_id", "geo_cell")
     return pending.select(
-        key, cell_parent(F.col("base_cell"), level).alias("geo_cell")
-    ).join(linked, "geo_cell").select(key, "geo_cell")
+        *keys, cell_parent(F.col("base_cell"), level).alias("geo_cell")
+    ).join(linked, "geo_cell").select(*keys, "geo_cell")
 
 
 def derive_all(place: DataFrame, redo: bool = False) -> DataFrame:

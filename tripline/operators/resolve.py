@@ -14,7 +14,6 @@ from tripline.functions.times import SOURCE_MANUAL, in_months, local_date, taken
 
 KEY = ["track_id", "dedupe_key"]
 TZ_LEVEL = 8
-_PATH_CHARS = 512
 
 # Where a location came from.
 LOCATION_SIDECAR, LOCATION_EXIF, LOCATION_MANUAL, LOCATION_NONE = (
@@ -67,6 +66,7 @@ def load_previous(catalog: DataFrame) -> DataFrame:
 def join_sidecars(files: DataFrame, matches: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Files with the parsed fields of their sidecar as struct ``sc`` (NULL unless valid)."""
     docs = sidecars.where("valid").select(
+        "track_id",
         F.col("path").alias("sidecar"),
         F.struct("title", "description", "url", "epoch", "lat", "lng", "fingerprint", "json").alias(
             "sc"
@@ -74,9 +74,9 @@ def join_sidecars(files: DataFrame, matches: DataFrame, sidecars: DataFrame) ->
     )
     # A file without a match joins on its own path, which no sidecar has: no hot NULL key.
     return (
-        files.join(matches.select("path", "sidecar"), "path", "left")
+        files.join(matches.select("track_id", "path", "sidecar"), ["track_id", "path"], "left")
         .withColumn("_doc", F.coalesce("sidecar", "path"))
-        .join(docs.withColumnRenamed("sidecar", "_doc"), "_doc", "left")
+        .join(docs.withColumnRenamed("sidecar", "_doc"), ["track_id", "_doc"], "left")
         .drop("_doc")
     )
 
@@ -89,12 +89,14 @@ def join_exif(files: DataFrame, exif: DataFrame) -> DataFrame:
         F.coalesce(sc.title != "", F.lit(False)) & sc.epoch.isNotNull()
     )
     need = (F.col("kind") == "photo") & (sc.lat.isNull() | sc.epoch.isNull() | ~cheap)
-    image = exif.select(
-        "path", F.struct("datetime_text", "lat", "lng", "perceptual_hash", "meta").alias("_ex")
+    # One row per file, whatever the table holds: a second one must not multiply the file.
+    order = F.struct("datetime_text", "lat", "lng", "perceptual_hash")
+    image = exif.groupBy("track_id", "path").agg(
+        F.min_by(F.struct("datetime_text", "lat", "lng", "perceptual_hash", "meta"), order).alias("_ex")
     )
     hashed = F.when(cheap, F.lit(None)).otherwise(F.col("_ex.perceptual_hash"))
     return (
-        files.join(image, "path", "left")
+        files.join(image, ["track_id", "path"], "left")
         .withColumn("ex", F.when(need, F.col("_ex").withField("perceptual_hash", hashed)))
         .drop("_ex")
     )
@@ -147,11 +149,12 @@ def resolve_location(rows: DataFrame) -> DataFrame:
 
 
 def assign_timezone(rows: DataFrame, tz_cells: DataFrame, level: int = TZ_LEVEL) -> DataFrame:
-    """Zone of the item's coarse cell, by a join with a (cell, tz) table; else NULL."""
+    """Zone of the item's coarse cell, by a join with a (cell, tz) table; else NULL. Of several
+    zones of one cell (on a border) the first by name counts."""
     cell = cell_parent(cell_of(F.col("latitude"), F.col("longitude")), level)
     # Unlocated rows get keys of their own instead of one hot NULL key; no cell is negative.
     spread = -1 - F.pmod(F.hash("path"), F.lit(1 << 20)).cast("long")
-    zones = tz_cells.select(F.col("cell").alias("_cell"), F.col("tz").alias("zone"))
+    zones = tz_cells.groupBy(F.col("cell").alias("_cell")).agg(F.min("tz").alias("zone"))
     return (
         rows.withColumn("_cell", F.coalesce(cell, spread)).join(zones, "_cell", "left").drop("_cell")
     )
@@ -217,7 +220,7 @@ def catalog_rows(rows: DataFrame) -> DataFrame:
         F.when(sc.url != "", sc.url).alias("url"),
         F.col("name").alias("file_name"),
         "kind",
-        F.left("path", F.lit(_PATH_CHARS)).alias("source_path"),
+        F.col("path").alias("source_path"),
         "taken_at",
         "taken_at_source",
         "timezone",

@@ -51,14 +51,19 @@ def upsert_place(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def link_cells(
-    media: DataFrame, pairs: DataFrame, now: Column | None = None, key: str = "media_id"
+    media: DataFrame,
+    pairs: DataFrame,
+    now: Column | None = None,
+    key: str | Sequence[str] = "media_id",
 ) -> DataFrame:
-    """Set ``geo_cell`` (and updated_at, if kept) for (key, geo_cell) pairs; others unchanged."""
+    """Set ``geo_cell`` (and updated_at, if kept) for (key, geo_cell) pairs; others unchanged.
+    ``key`` identifies an item: with several tracks, give the track, too."""
+    keys = [key] if isinstance(key, str) else list(key)
     at = F.current_timestamp() if now is None else now
-    links = pairs.select(key, F.col("geo_cell").alias("_cell"))
+    links = pairs.select(*keys, F.col("geo_cell").alias("_cell"))
     changed = {"geo_cell": F.coalesce("_cell", "geo_cell")}
     if "updated_at" in media.columns:
         changed["updated_at"] = F.when(F.col("_cell").isNotNull(), at).otherwise(
             F.col("updated_at")
         )
-    return media.join(links, key, "left").withColumns(changed).select(*media.columns)
+    return media.join(links, keys, "left").withColumns(changed).select(*media.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ def geocode(
     recalculate: bool = False,
     max_lookups: int | None = None,
     now: Column | None = None,
-    key: str = "media_id",
+    key: str | Sequence[str] = "media_id",
 ) -> Geocoded:
     """Pending items -> cells -> lookups joined to ``responses`` -> places -> links. A cell
     known already is always linked, also when the budget is used up."""

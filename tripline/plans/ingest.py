@@ -66,7 +66,7 @@ def ingest(
     now: Column | None = None,
 ) -> Ingested:
     """``listing`` has track_id, path, dir, name, size, mtime and optionally error;
-    ``documents`` has path, dir, name, json; ``exif`` has path, datetime_text, lat, lng,
+    ``documents`` has track_id, path, dir, name, json; ``exif`` has track_id, path, datetime_text, lat, lng,
     perceptual_hash, meta. Folders of other years are dropped before a document is parsed, and
     each document is parsed once: the typed result is written for the steps that follow."""
     months = month_bounds(month_filter) if month_filter else None

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("catalog", "timeline", "places", "resolve", "matching", "ingest", "files")
+_MODULES = ("catalog", "timeline", "places", "matching", "ingest", "files")
 
 
 def _collect(name: str) -> dict:
     out: dict = {}
     for module in _MODULES:
-        try:
-            loaded = importlib.import_module(f"tripline.queries.{module}")
-        except ModuleNotFoundError:
-            continue
-        out.update(getattr(loaded, name))
+        out.update(getattr(importlib.import_module(f"tripline.queries.{module}"), name))
     return out
 
 

@@ -48,12 +48,14 @@ SQL["scan_listing"] = f"""WITH {q.EV} SELECT 'track=' || regexp_extract(dir, '^e
 
 @_query
 def read_sidecars(spark, sf_dir):
-    return files.read_sidecars(spark, _packed(spark, sf_dir), packed=True).select(
-        "dir", "valid", "title", "url", F.col("epoch").cast("string").alias("epoch"), "lat", "lng"
+    path = scratch_path(spark, "packs")
+    files.pack_sidecars(s.documents(spark, sf_dir)).write.text(path)
+    return files.read_sidecars(spark, path, packed=True).select(
+        "path", "dir", "valid", "title", "url", F.col("epoch").cast("string").alias("epoch"), "lat", "lng"
     )
 
 
-SQL["read_sidecars"] = f"""WITH {q.EV}, {q.FIELDS} SELECT 'track=' || regexp_extract(dir, '^export/(\\d+)', 1) AS dir, valid, title, url,
+SQL["read_sidecars"] = f"""WITH {q.EV}, {q.FIELDS} SELECT path, dir, valid, title, url,
   CAST(epoch AS VARCHAR) AS epoch, slat AS lat, slng AS lng FROM sc"""
 
 

@@ -109,7 +109,7 @@ SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS INTE
 
 @_query
 def match_exact(spark, sf_dir):
-    return matching.match_exact(_media(spark, sf_dir), s.sidecars(spark, sf_dir))
+    return matching.match_exact(_media(spark, sf_dir), s.sidecars(spark, sf_dir)).drop("track_id")
 
 
 SQL["match_exact"] = f"WITH {q.EV}, {q.EXACT} SELECT path, sidecar FROM ma"
@@ -117,7 +117,7 @@ SQL["match_exact"] = f"WITH {q.EV}, {q.EXACT} SELECT path, sidecar FROM ma"
 
 @_query
 def match_title(spark, sf_dir):
-    return matching.match_title(_media(spark, sf_dir), s.sidecars(spark, sf_dir))
+    return matching.match_title(_media(spark, sf_dir), s.sidecars(spark, sf_dir)).drop("track_id")
 
 
 SQL["match_title"] = f"WITH {q.EV}, {q.NAMES}, {q.TITLES} SELECT path, sidecar FROM mb"
@@ -126,7 +126,7 @@ SQL["match_title"] = f"WITH {q.EV}, {q.NAMES}, {q.TITLES} SELECT path, sidecar F
 @_query
 def match_prefix(spark, sf_dir):
     files, _ = media_side(s.listing(spark, sf_dir))
-    return matching.match_prefix(_media(spark, sf_dir), s.sidecars(spark, sf_dir), files)
+    return matching.match_prefix(_media(spark, sf_dir), s.sidecars(spark, sf_dir), files).drop("track_id")
 
 
 SQL["match_prefix"] = f"WITH {q.EV}, {q.NAMES}, {q.PREFIX} SELECT path, sidecar FROM mc WHERE sidecar IS NOT NULL"
@@ -135,7 +135,7 @@ SQL["match_prefix"] = f"WITH {q.EV}, {q.NAMES}, {q.PREFIX} SELECT path, sidecar
 @_query
 def match_sidecars(spark, sf_dir):
     files, _ = media_side(s.listing(spark, sf_dir))
-    return matching.match_sidecars(files, s.sidecars(spark, sf_dir))
+    return matching.match_sidecars(files, s.sidecars(spark, sf_dir)).drop("track_id")
 
 
 SQL["match_sidecars"] = f"WITH {q.EV}, {q.MATCH} SELECT path, sidecar, tier FROM matches"

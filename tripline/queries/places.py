@@ -154,7 +154,7 @@ def _place_columns(df):
 
 FOUND = f"""SELECT CAST(cell_id AS VARCHAR) AS cell_id, {CENTER_LAT} AS center_lat, {CENTER_LNG} AS center_lng,
   {CITY} AS city, {AREA} AS admin1, {COUNTRY} AS country_code,
-  substr('Address of ' || cell_id || repeat(' x', 150), 1, 255) AS formatted_address"""
+  'Address of ' || cell_id || repeat(' x', 150) AS formatted_address"""
 
 
 @_query

@@ -17,7 +17,7 @@ from tripline.plans.ingest import media_side, resolve_files
 from tripline.operators import resolve
 from tripline.operators.matching import match_sidecars
 from tripline.operators.upsert import upsert_media
-from tripline.session import tune
+from tripline.session import materialize, tune
 from tripline.sources.exif import exif_columns
 from tripline.sources.sidecars import parse_sidecars
 
@@ -99,10 +99,10 @@ LISTING_SQL = f"""SELECT x, u, sec, dir, name, dir || '/' || name AS path, 1000
   UNION ALL SELECT x, u, sec, {COPY_DIR}, {MEDIA_NAME} FROM {{ev}} WHERE {COPIED}
   UNION ALL SELECT x, u, sec, {COPY_DIR}, {SIDECAR_NAME} FROM {{ev}} WHERE {COPIED}) f"""
 
-DOCS_SQL = f"""SELECT x, dir, name, dir || '/' || name AS path, json FROM (
-  SELECT x, {DIR} AS dir, {SIDECAR_NAME} AS name, {JSON} AS json FROM {{ev}} WHERE x % 9 <> 6
-  UNION ALL SELECT x, {DIR}, {SECOND_SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE x % 9 = 8
-  UNION ALL SELECT x, {COPY_DIR}, {SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE {COPIED}) f"""
+DOCS_SQL = f"""SELECT x, u AS track_id, dir, name, dir || '/' || name AS path, json FROM (
+  SELECT x, u, {DIR} AS dir, {SIDECAR_NAME} AS name, {JSON} AS json FROM {{ev}} WHERE x % 9 <> 6
+  UNION ALL SELECT x, u, {DIR}, {SECOND_SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE x % 9 = 8
+  UNION ALL SELECT x, u, {COPY_DIR}, {SIDECAR_NAME}, {JSON} FROM {{ev}} WHERE {COPIED}) f"""
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,26 +116,23 @@ def _listing(spark, sf_dir):
         "path", "dir", "name", "error",
         F.col("size").cast("long").alias("size"),
         F.timestamp_seconds(F.col("sec") + 86400).alias("mtime"),
-    ).repartition("dir")
+    ).repartition("dir", "name")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar texts: dir, name, path, json."""
     return sample.stored(
         spark, sf_dir, "documents",
-        lambda: _sql(spark, DOCS_SQL, ev=events(spark, sf_dir)).drop("x").repartition("dir"),
+        lambda: _sql(spark, DOCS_SQL, ev=events(spark, sf_dir)).drop("x").repartition("dir", "name"),
     )
 
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed once and stored, as an ingest does."""
-    return sample.stored(
-        spark, sf_dir, "sidecars", lambda: parse_sidecars(documents(spark, sf_dir))
-    )
+    return parse_sidecars(documents(spark, sf_dir))
 
 
 # EXIF rows of the media files.
-EXIF_SQL = """SELECT path,
+EXIF_SQL = """SELECT u AS track_id, path,
   CASE WHEN x % 5 = 0 THEN ' ' WHEN x % 7 = 0 THEN '0000:00:00 00:00:00' WHEN x % 8 = 3 THEN NULL
     ELSE {text} END AS date_time_original,
   CASE WHEN x % 10 = 0 THEN {text} END AS date_time,
@@ -149,12 +146,12 @@ FROM {files}"""
 
 
 def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.stored(spark, sf_dir, "exif", lambda: _exif(spark, sf_dir))
+    return exif_columns(sample.stored(spark, sf_dir, "raw_exif", lambda: _exif(spark, sf_dir)))
 
 
 def _exif(spark, sf_dir):
     ev = events(spark, sf_dir)
-    files = _sql(spark, LISTING_SQL, ev=ev).select("x", "path", "sec", "name").where(
+    files = _sql(spark, LISTING_SQL, ev=ev).select("x", "u", "path", "sec", "name").where(
         media_kind(F.col("name")) == "photo"
     )
     text = F.date_format(F.timestamp_seconds("sec"), "yyyy:MM:dd HH:mm:ss")
@@ -167,14 +164,12 @@ def _exif(spark, sf_dir):
     )
     raw = _sql(spark, EXIF_SQL.replace("{text}", "t"), files=files)
     dms = F.when(F.col("has_dms"), F.array(*map(F.lit, (35.0, 30.0, 36.0))))
-    return exif_columns(
-        raw.repartition("path").withColumns(
-            {
-                "lat_dms": dms,
-                "lng_dms": F.when(F.col("has_dms"), F.array(*map(F.lit, (139.0, 45.0, 18.0)))),
-                "meta": F.create_map(F.lit("DateTimeOriginal"), "date_time_original"),
-            }
-        )
+    return raw.repartition("path").withColumns(
+        {
+            "lat_dms": dms,
+            "lng_dms": F.when(F.col("has_dms"), F.array(*map(F.lit, (139.0, 45.0, 18.0)))),
+            "meta": F.create_map(F.lit("DateTimeOriginal"), "date_time_original"),
+        }
     )
 
 
@@ -202,11 +197,8 @@ def earlier_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        files, _ = media_side(listing(spark, sf_dir))
-        return match_sidecars(files, sidecars(spark, sf_dir))
-
-    return sample.stored(spark, sf_dir, "matches", build)
+    files, _ = media_side(listing(spark, sf_dir))
+    return match_sidecars(files, materialize(sidecars(spark, sf_dir), "sidecars"))
 
 
 def _earlier(spark, sf_dir):

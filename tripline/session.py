@@ -29,11 +29,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in
-    ``spark.checkpoint.dir``. Only where that is unset (local tests) a local one is made."""
+    ``spark.checkpoint.dir``. Only where that is unset, and driver and executors are one
+    process, a local one is made."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tripline-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

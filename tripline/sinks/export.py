@@ -30,6 +30,20 @@ def _utc(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def decimal_text(value: Column) -> Column:
+    """A number without an exponent and without loss: the shortest digits that give it, written
+    out. Only magnitudes under 0.001 (and from 10 million) would come with an exponent."""
+    text = value.cast("string")
+    digits = F.regexp_replace(value.cast("decimal(38,30)").cast("string"), r"0+$", "")
+    # An exact decimal of the shortest digits: mantissa and exponent are read off the text.
+    mantissa, power = F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1)
+    places = F.length(F.regexp_extract(mantissa, r"\.(\d+)$", 1)) - power.try_cast("int")
+    scaled = F.regexp_replace(mantissa, r"[-.]", "")
+    small = F.concat(F.when(mantissa.startswith("-"), "-0.").otherwise("0."), F.lpad(scaled, places, "0"))
+    trimmed = F.regexp_replace(small, r"0+$", "")
+    return F.when(~text.contains("E"), text).when(F.abs(value) < 1, trimmed).otherwise(digits)
+
+
 def _framed(items: DataFrame, line: Column, head: str, foot: str, by: Sequence[str]) -> DataFrame:
     groups = items.select(*by).distinct()
 
@@ -55,8 +69,8 @@ def _framed(items: DataFrame, line: Column, head: str, foot: str, by: Sequence[s
 def gpx_lines(items: DataFrame, by: Sequence[str] = ("track_id",)) -> DataFrame:
     """GPX 1.1, one track point per located item in time order."""
     line = F.concat(
-        F.lit('    <trkpt lat="'), F.col("latitude").cast("string"),
-        F.lit('" lon="'), F.col("longitude").cast("string"),
+        F.lit('    <trkpt lat="'), decimal_text(F.col("latitude")),
+        F.lit('" lon="'), decimal_text(F.col("longitude")),
         F.lit('"><time>'), _utc("taken_at"), F.lit("</time></trkpt>"),
     )
     return _framed(items, line, GPX_HEAD, GPX_FOOT, by)
@@ -75,7 +89,8 @@ def feature(items: DataFrame) -> Column:
                 F.col("media_id").alias("id"),
                 F.col("file_name").alias("name"),
             ).alias("properties"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
 
 

@@ -16,7 +16,7 @@ CSV_DDL = (
 
 
 def exif_columns(raw: DataFrame) -> DataFrame:
-    """path, datetime_text, lat, lng, altitude, perceptual_hash, meta of raw EXIF rows with
+    """(track_id,) path, datetime_text, lat, lng, altitude, perceptual_hash, meta of raw EXIF rows with
     date_time_original, date_time, lat/lng as decimal or [d, m, s] and their hemispheres."""
     lat = exif_degrees(F.col("lat_decimal"), F.col("lat_dms"), F.col("lat_ref"), "S")
     lng = exif_degrees(F.col("lng_decimal"), F.col("lng_dms"), F.col("lng_ref"), "W")
@@ -26,6 +26,7 @@ def exif_columns(raw: DataFrame) -> DataFrame:
         F.col("altitude").try_cast("double") if "altitude" in raw.columns else F.lit(None)
     ).cast("double")
     return raw.select(
+        *[c for c in ("track_id",) if c in raw.columns],
         "path",
         F.coalesce(*texts).alias("datetime_text"),
         F.when(both, lat).alias("lat"),

@@ -30,7 +30,7 @@ def ingest_stream(
             catalog = read_snapshot(spark, catalog_root)
         else:
             catalog = spark.createDataFrame([], resolve.CATALOG_DDL)
-        here = documents.join(batch.select("path").distinct(), "path", "left_semi")
+        here = documents.join(batch.select("track_id", "path").distinct(), ["track_id", "path"], "left_semi")
         result = ingest(batch, here, exif, tz_cells, catalog, **options)
         write_snapshot(result.catalog, catalog_root)
 
