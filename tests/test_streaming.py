@@ -49,3 +49,19 @@ def test_ingest_stream(spark, tmp_path):
         got = sorted((r.url or "", r.kind) for r in read_snapshot(spark, root).collect())
         assert got == [("", "video"), ("u-x", "photo"), ("u-y", "photo")]
     assert current_version(spark, root) == 3
+
+
+def test_snapshots_survive_crashes_and_empty_tables(spark, tmp_path):
+    from tripline.sinks.catalog import write_snapshot
+
+    root = str(tmp_path / "catalog")
+    empty = spark.createDataFrame([], "track_id long, taken_at timestamp, local_date date")
+    assert write_snapshot(empty, root) == 1
+    assert read_snapshot(spark, root).collect() == [] and read_snapshot(spark, root).columns == empty.columns
+    # A writer that died: data without a commit, and a commit file that was never filled.
+    (tmp_path / "catalog" / "v2-dead").mkdir()
+    (tmp_path / "catalog" / "commits" / f"{2:020d}.json").write_text("")
+    assert current_version(spark, root) == 1
+    one = spark.sql("select 1L as track_id, timestamp'2020-01-01' as taken_at, date'2020-01-01' as local_date")
+    assert write_snapshot(one, root) == 2
+    assert read_snapshot(spark, root).count() == 1 and read_snapshot(spark, root, 1).count() == 0

@@ -1,22 +1,42 @@
-"""Catalog snapshots: every write is a new version, made current by a commit row."""
+"""Catalog snapshots: every write is a new version, made current by a commit file.
+
+A write goes to a folder of its own, so an attempt that died is never in the way of the next.
+The commit file of a version is created, not overwritten: of two writers one wins, and the
+other fails with nothing lost. It names the folder and the schema, so a version without a
+single row can be read.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
 
-_COMMITS = "version long, folder string"
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    """Versions that have a whole commit file, oldest first."""
+    fs, folder = _file_system(spark, f"{root}/commits")
+    if not fs.exists(folder):
+        return []
+    names = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n, size in names if n.endswith(".json") and size)
+
+
+def _commit_path(root: str, version: int) -> str:
+    return f"{root}/commits/{version:020d}.json"
 
 
 def current_version(spark: SparkSession, root: str) -> int:
     """Latest committed version; 0 before the first."""
-    try:
-        commits = spark.read.schema(_COMMITS).parquet(f"{root}/commits")
-    except Exception as e:  # noqa: BLE001 - only "path does not exist" means "no version yet"
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return 0
-    return commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    return max(_commits(spark, root), default=0)
 
 
 def write_snapshot(table: DataFrame, root: str) -> int:
@@ -28,7 +48,7 @@ def write_snapshot(table: DataFrame, root: str) -> int:
     """
     spark = table.sparkSession
     version = current_version(spark, root) + 1
-    folder = f"v{version}"
+    folder = f"v{version}-{uuid.uuid4().hex}"
     rows = table
     if "local_date" in table.columns:
         rows = rows.withColumn("local_year", F.year("local_date"))
@@ -39,14 +59,22 @@ def write_snapshot(table: DataFrame, root: str) -> int:
     if "local_year" in rows.columns:
         writer = writer.partitionBy("local_year")
     writer.parquet(f"{root}/{folder}")
-    commit = spark.range(1).select(
-        F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")
-    )
-    commit.write.mode("append").parquet(f"{root}/commits")
+    commit = json.dumps({"version": version, "folder": folder, "schema": table.schema.jsonValue()})
+    fs, path = _file_system(spark, _commit_path(root, version))
+    if fs.exists(path) and not fs.getFileStatus(path).getLen():
+        fs.delete(path, False)  # of a writer that died between creating and filling it
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(commit.encode()))
+    finally:
+        out.close()
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The current (or a given) version."""
     chosen = current_version(spark, root) if version is None else version
-    return spark.read.parquet(f"{root}/v{chosen}").drop("local_year")
+    text = spark.read.text(_commit_path(root, chosen), wholetext=True).first()[0]
+    commit = json.loads(text)
+    schema = StructType.fromJson(commit["schema"])
+    return spark.read.schema(schema).parquet(f"{root}/{commit['folder']}").select(*schema.fieldNames())
