@@ -4,7 +4,7 @@ A word is removed from a document if a window that covers it has the same words
 that starts in a document with a smaller id. Windows are judged on the input.
 
 1. *Anchors.* A window's anchor is the least hash among its runs of ``GRAM`` words. Equal windows
-   have equal anchors, and only one run of words in about six is an anchor. Anchors of at least
+   have equal anchors, and only about two windows in nine begin a new one. Anchors of at least
    two documents are kept; no other window can recur.
 2. *Passages.* Documents with kept anchors give their passages: runs of windows with one anchor,
    cut at ``PASSAGE`` windows, keyed by the anchor. Where an anchor is in over ``HOT`` documents,
@@ -13,7 +13,8 @@ that starts in a document with a smaller id. Windows are judged on the input.
 3. *Automata.* Keys are dealt out; in each task, shards of ``SHARD`` passages confirm which
    windows recur between documents and compile those into an Aho-Corasick automaton over whole
    words. All passages of the shard stream through it; every occurrence is returned with the
-   first document of its window.
+   first document of its window. A passage that is the only one under its key needs none:
+   it recurs as a whole or not at all.
 4. Occurrences go back to the documents by passage, and covered words are left out.
 
 Keys and passage identities are 64-bit hashes; windows themselves are compared word by word.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from tripline.llm.tokens import Words, chunks, mix, run_hashes, words_of
 from tripline.session import materialize
 
 WINDOW = 13
-GRAM = 4
+GRAM = 6
 PASSAGE = 12
 #: Documents that may share an anchor before its windows are keyed one by one.
 HOT = 2_000
@@ -89,50 +91,52 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(anchors.view(np.int64)), pa.array(kid)], names=["anchor", "kid"])
 
 
+def _owned(anchors: np.ndarray, rows: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which windows have an anchor that the list of their own text holds."""
+    lists = np.repeat(np.arange(len(column), dtype=np.uint64), np.asarray(column.value_lengths()))
+    pair = lambda values, of: values ^ mix(of.astype(np.uint64) + np.uint64(1))
+    known = np.sort(pair(np.asarray(column.flatten()).view(np.uint64), lists))
+    if not len(known):
+        return np.zeros(len(anchors), dtype=bool)
+    mine = pair(anchors, rows)
+    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+    return known[at] == mine
+
+
 def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             w = words_of(part.column("text"))
+            starts = w.valid(WINDOW)
+            if not len(starts):
+                continue
             text, begins, ends = _joined(w)
             hashes = w.hashes()
-            anchors = window_anchors(hashes)
-            whole = run_hashes(hashes, WINDOW)
-            kids, ids = part.column("kid").to_pylist(), part.column("text_hash").to_pylist()
-            keys, first, last, owner = [], [], [], []
-            for row in range(part.num_rows):
-                a, b = int(w.first[row]), int(w.first[row + 1]) - WINDOW + 1
-                if b <= a:
-                    continue
-                own = anchors[a:b]
-                cold = np.asarray(part.column("cold")[row].values).view(np.uint64)
-                hot = np.asarray(part.column("hot")[row].values).view(np.uint64)
-                kept = np.flatnonzero(np.isin(own, cold))
-                if len(kept):
-                    # A passage ends where the anchor changes or windows are not next to each other.
-                    cut = np.ones(len(kept), dtype=bool)
-                    cut[1:] = (np.diff(kept) > 1) | (own[kept][1:] != own[kept][:-1])
-                    since = np.arange(len(kept)) - np.maximum.accumulate(np.where(cut, np.arange(len(kept)), 0))
-                    cut |= since % PASSAGE == 0
-                    at = np.flatnonzero(cut)
-                    keys.append(own[kept[at]])
-                    first.append(a + kept[at])
-                    last.append(a + kept[np.append(at[1:], len(kept)) - 1])
-                    owner.append(np.full(len(at), row))
-                single = np.flatnonzero(np.isin(own, hot)) + a
-                if len(single):
-                    keys.append(whole[single])
-                    first.append(single)
-                    last.append(single)
-                    owner.append(np.full(len(single), row))
-            if not keys:
-                continue
-            keys, first, last, owner = (np.concatenate(x) for x in (keys, first, last, owner))
+            anchors, whole = window_anchors(hashes)[starts], run_hashes(hashes, WINDOW)
+            rows = w.rows()[starts]
+            kept = np.flatnonzero(_owned(anchors, rows, part.column("cold")))
+            single = np.flatnonzero(_owned(anchors, rows, part.column("hot")))
+            # A passage ends where the text or the anchor changes, or windows are not neighbours.
+            cut = np.ones(len(kept), dtype=bool)
+            near = (np.diff(starts[kept]) == 1) & (anchors[kept][1:] == anchors[kept][:-1]) & (rows[kept][1:] == rows[kept][:-1])
+            cut[1:] = ~near
+            number = np.arange(len(kept))
+            cut |= (number - np.maximum.accumulate(np.where(cut, number, 0))) % PASSAGE == 0
+            at = np.flatnonzero(cut)
+            first = np.concatenate([starts[kept[at]], starts[single]])
+            last = np.concatenate([starts[kept[np.append(at[1:], len(kept)) - 1]] if len(at) else at, starts[single]])
+            owner = np.concatenate([rows[kept[at]], rows[single]])
+            keys = np.concatenate([anchors[kept[at]], whole[starts[single]]])
+            with np.errstate(over="ignore"):
+                # The first and the last window cover a passage of up to PASSAGE windows.
+                identity = mix(whole[first] * np.uint64(31) + whole[last] + (last - first).astype(np.uint64))
             texts = [text[s:e] for s, e in zip(begins[first].tolist(), ends[last + WINDOW - 1].tolist())]
             columns = {
                 "key": pa.array(keys.view(np.int64)),
+                "passage_hash": pa.array(identity.view(np.int64)),
                 "passage": pa.array(texts, pa.binary()).cast(pa.string()),
-                "kid": pa.array([kids[r] for r in owner.tolist()], pa.int64()),
-                "text_hash": pa.array([ids[r] for r in owner.tolist()], pa.int64()),
+                "kid": part.column("kid").take(pa.array(owner)),
+                "text_hash": part.column("text_hash").take(pa.array(owner)),
                 "at": pa.array((first - w.first[owner]).astype(np.int32)),
             }
             yield pa.record_batch(list(columns.values()), names=list(columns))
@@ -167,32 +171,49 @@ def locate(passages: list[str], least: list[int], most: list[int]) -> list[list[
     return [[(end - WINDOW + 1, low) for end, low in automaton.iter(row)] for row in rows]
 
 
+def _shard(rows: pa.Table) -> pa.RecordBatch:
+    """Occurrences in whole groups of one key, sorted by key."""
+    keys = np.asarray(rows.column("key"))
+    least, most = np.asarray(rows.column("least")), np.asarray(rows.column("most"))
+    border = np.append(True, keys[1:] != keys[:-1])
+    alone = border & np.append(border[1:], True)
+    # The only passage under its key is confirmed, or not, as a whole.
+    whole = np.flatnonzero(alone & (least < most))
+    words = np.asarray(pc.count_substring(rows.column("passage").take(pa.array(whole)), " ")) + 1
+    n = words.astype(np.int64) - WINDOW + 1
+    offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    several = np.flatnonzero(~alone)
+    passages = rows.column("passage").take(pa.array(several)).to_pylist()
+    found = locate(passages, least[several].tolist(), most[several].tolist())
+    counts = np.append(n, [len(f) for f in found])
+    offsets = np.append(offsets, [o for f in found for o, _ in f]).astype(np.int32)
+    firsts = np.append(np.repeat(least[whole], n), [d for f in found for _, d in f]).astype(np.int64)
+    bounds = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    taken = pa.array(np.append(whole, several))
+    columns = [
+        rows.column("key").take(taken).combine_chunks(),
+        rows.column("passage_hash").take(taken).combine_chunks(),
+        pa.ListArray.from_arrays(bounds, pa.array(offsets)),
+        pa.ListArray.from_arrays(bounds, pa.array(firsts)),
+    ]
+    out = pa.record_batch(columns, names=["key", "passage_hash", "offsets", "firsts"])
+    return out.filter(pa.array(counts > 0))
+
+
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key. Shards end between keys."""
-    held: list[tuple[int, int, str, int, int]] = []
-
-    def work(rows):
-        found = locate([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
-        kept = [(r[0], r[1], f) for r, f in zip(rows, found) if f]
-        columns = [
-            pa.array([k for k, _, _ in kept], pa.int64()),
-            pa.array([p for _, p, _ in kept], pa.int64()),
-            pa.array([[o for o, _ in f] for _, _, f in kept], pa.list_(pa.int32())),
-            pa.array([[d for _, d in f] for _, _, f in kept], pa.list_(pa.int64())),
-        ]
-        return pa.record_batch(columns, names=["key", "passage_hash", "offsets", "firsts"])
-
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.extend(zip(*(batch.column(c).to_pylist() for c in ("key", "passage_hash", "passage", "least", "most"))))
-        if len(held) > SHARD:
-            cut = len(held) - 1
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
+        held.append(batch)
+        if sum(b.num_rows for b in held) > SHARD:
+            rows = pa.Table.from_batches(held)
+            keys = np.asarray(rows.column("key"))
+            cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
-                yield work(held[:cut])
-                held = held[cut:]
-    if held:
-        yield work(held)
+                yield _shard(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        yield _shard(pa.Table.from_batches(held))
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +246,9 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "kid long, text_hash long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _release(spark) -> None:
-    """Shuffle files of stages whose result is written are dropped once the driver's JVM has
-    collected their handles; ask for it, since disk would fill long before the heap does."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs``: kid, text_hash, text. Returns the affected documents (once per kid and
     text_hash) and, for these, ``starts`` of the windows to remove."""
-    spark = docs.sparkSession
     anchors = docs.select("kid", "text").mapInArrow(_anchor_rows, "anchor long, kid long")
     shared = (
         anchors.groupBy("anchor")
@@ -243,28 +257,22 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("anchor", (F.col("n") > HOT).alias("is_hot"))
     )
     shared = materialize(shared, "anchors")
-    _release(spark)
     mine = materialize(
         anchors.join(shared, "anchor")
         .groupBy("kid")
         .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")),
         "document-anchors",
     )
-    _release(spark)
     affected = materialize(docs.join(mine, "kid").dropDuplicates(["kid", "text_hash"]), "affected")
-    _release(spark)
-    rows = affected.mapInArrow(_passage_rows, "key long, passage string, kid long, text_hash long, at int")
-    passages = (
-        rows.groupBy("key", "passage")
-        .agg(F.min("kid").alias("least"), F.max("kid").alias("most"))
-        .select("key", F.xxhash64("passage").alias("passage_hash"), "passage", "least", "most")
+    rows = materialize(
+        affected.mapInArrow(_passage_rows, "key long, passage_hash long, passage string, kid long, text_hash long, at int"), "passages"
     )
+    passages = rows.groupBy("key", "passage_hash", "passage").agg(F.min("kid").alias("least"), F.max("kid").alias("most"))
     dealt = passages.repartition("key").sortWithinPartitions("key")
     located = materialize(
         dealt.mapInArrow(_located, "key long, passage_hash long, offsets array<int>, firsts array<long>"), "located"
     )
-    _release(spark)
-    places = rows.select("key", F.xxhash64("passage").alias("passage_hash"), "kid", "text_hash", "at")
+    places = rows.select("key", "passage_hash", "kid", "text_hash", "at")
     later = F.expr("transform(filter(arrays_zip(offsets, firsts), x -> x.firsts < kid), x -> at + x.offsets)")
     starts = (
         places.join(located, ["key", "passage_hash"])
@@ -286,7 +294,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     changed = materialize(
         affected.select("kid", "text_hash", "text").join(starts, ["kid", "text_hash"]).mapInArrow(_kept_rows, _KEPT), "kept"
     )
-    _release(docs.sparkSession)
     whole = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("kid"),
         F.xxhash64("text").alias("text_hash"),
