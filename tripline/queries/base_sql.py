@@ -21,7 +21,7 @@ def parent_sql(cell: str, level: int) -> str:
 
 MEDIA = f"""
 ev AS (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events),
-ev2 AS (SELECT *, k % 14 AS slot, value - floor(value) AS part FROM ev),
+ev2 AS (SELECT *, k % 27 AS slot, value - floor(value) AS part FROM ev),
 media0 AS (
   SELECT event_id AS media_id, user_id AS track_id, 'IMG_' || event_id || '.jpg' AS file_name,
     ts AS taken_at,
@@ -46,7 +46,7 @@ place AS (
     CASE n_nationkey % 3 WHEN 0 THEN 'SG' WHEN 1 THEN 'JP' ELSE 'TH' END AS country_code,
     CASE WHEN n_nationkey <> 5 THEN n_name END AS city,
     CASE WHEN n_nationkey IN (1, 4) THEN ' Tokyo ' ELSE 'ADM_' || (n_nationkey % 3) END AS admin1
-  FROM nation WHERE n_nationkey < 12)"""
+  FROM nation)"""
 
 LABEL = """CASE WHEN cc = 'JP' AND trim(admin1) = 'Tokyo' THEN 'Tokyo'
     ELSE coalesce(nullif(city, ''), nullif(trim(admin1), '')) END"""

@@ -50,10 +50,10 @@ SQL["scan_place"] = f"WITH {b.PLACE} SELECT * FROM place"
 
 @_query
 def media_by_key(spark, sf_dir):
-    return _media_columns(catalog.media_by_key(sample.media(spark, sf_dir), "IMG_7.jpg", "file_name"))
+    return _media_columns(catalog.media_by_key(sample.media(spark, sf_dir), 7, "media_id"))
 
 
-SQL["media_by_key"] = f"WITH {b.MEDIA} SELECT {MEDIA_COLUMNS} FROM media WHERE file_name = 'IMG_7.jpg'"
+SQL["media_by_key"] = f"WITH {b.MEDIA} SELECT {MEDIA_COLUMNS} FROM media WHERE media_id = 7"
 
 
 @_query

@@ -167,13 +167,17 @@ SQL["month_filter"] = f"""WITH {b.MEDIA} SELECT media_id, strftime(taken_at + IN
 def load_prev(spark, sf_dir):
     previous = resolve.load_previous(s.earlier_catalog(spark, sf_dir))
     return previous.select(
-        "track_id", "dedupe_key", "prev.taken_at_source", "prev.location_source",
-        F.col("prev.base_cell").cast("string").alias("base_cell"), "prev.sidecar_fingerprint",
+        "track_id", "dedupe_key", F.date_format("prev.taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken_at"),
+        "prev.taken_at_source", "prev.timezone", "prev.latitude", "prev.longitude",
+        F.col("prev.base_cell").cast("string").alias("base_cell"), F.col("prev.geo_cell").cast("string").alias("geo_cell"),
+        "prev.location_source", "prev.needs_review", F.date_format("prev.created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        "prev.sidecar_fingerprint",
     )
 
 
-SQL["load_prev"] = f"""WITH {q.RESOLVE} SELECT track_id, dedupe_key, taken_at_source, location_source,
-  CAST(base_cell AS VARCHAR) AS base_cell, sidecar_fingerprint FROM earlier"""
+SQL["load_prev"] = f"""WITH {q.RESOLVE} SELECT track_id, dedupe_key, {_ts("taken_at")}, taken_at_source, timezone, latitude, longitude,
+  CAST(base_cell AS VARCHAR) AS base_cell, CAST(geo_cell AS VARCHAR) AS geo_cell, location_source, needs_review,
+  {_ts("created_at")}, sidecar_fingerprint FROM earlier"""
 
 
 @_query

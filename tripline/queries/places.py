@@ -14,7 +14,7 @@ from tripline.queries import base_sql as b
 
 QUERIES, SQL = {}, {}
 LEVELS = (6, 9, 12, 17, 21)
-CAP = 40
+CAP = 10
 
 
 def _query(fn):

@@ -35,9 +35,10 @@ def _text(c: str):
     return F.col(c).cast("string").alias(c)
 
 
-def _points(spark: SparkSession, sf_dir: str, region=None) -> DataFrame:
+def _points(spark: SparkSession, sf_dir: str, start=None, end=None, region=None) -> DataFrame:
+    """All points; only what is about a time window gives one."""
     return catalog.load_points(
-        sample.media(spark, sf_dir), sample.place(spark, sf_dir), START, END, region
+        sample.media(spark, sf_dir), sample.place(spark, sf_dir), start, end, region
     )
 
 
@@ -48,7 +49,7 @@ def _stay_columns(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-POINTS = b.points_sql(START, END)
+POINTS = b.points_sql()
 LABELLED = f"labelled AS (SELECT *, {b.LABEL} AS label FROM points WHERE {b.LABEL} IS NOT NULL)"
 COUNTRY = "located AS (SELECT * FROM points WHERE cc <> '')"
 COUNTRY_SMOOTH = (
@@ -64,7 +65,7 @@ CITY_SMOOTH = (
 
 @_query
 def load_points(spark, sf_dir):
-    return _points(spark, sf_dir, region=["sg", "jp"]).select(
+    return _points(spark, sf_dir, START, END, region=["sg", "jp"]).select(
         "track_id", "media_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"),
         _text("local_date"), "lat", "lng", "cc", "city", "admin1", "url",
     )

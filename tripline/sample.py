@@ -54,7 +54,7 @@ def _by_country(slot: Column, sg, jp, th) -> Column:
 
 
 def _slot() -> Column:
-    return F.regexp_extract("props", r"(\d+)", 1).cast("int") % 14
+    return F.regexp_extract("props", r"(\d+)", 1).cast("int") % 27
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +103,11 @@ def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place names of twelve of the fourteen cells."""
+    """Place names of 25 of the 27 cells."""
     tune(spark)
     n = F.col("n_nationkey")
     return (
         spark.read.parquet(f"{sf_dir}/nation.parquet")
-        .where(n < 12)
         .select(
             F.concat(F.lit("cell_"), n).alias("cell_id"),
             _by_country(n, F.lit("SG"), F.lit("JP"), F.lit("TH")).alias("country_code"),

@@ -64,4 +64,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.stage_path = path
+    return stage
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete materialized stages once everything that reads them has been written itself."""
+    for stage in stages:
+        spark = stage.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
