@@ -30,7 +30,7 @@ BASE = (
 
 #: Candidate runs, what they must hold, and the least entropy of a window in bits.
 CLASSES = (
-    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", ("[0-9]", "[A-Fa-f]"), 3.0),
+    ("entropy_hex", r"[A-Za-z0-9]{20,}", ("^[0-9A-Fa-f]+$", "[0-9]", "[A-Fa-f]"), 3.0),
     ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), 3.6),
 )
 #: Candidates known to be harmless: placeholders, alphabets and digit rows, UUIDs, paths.
