@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripline.session import materialize
+from tripline.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,6 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         changed = now.join(after, ["a", "b"], "left_anti").limit(1).count() or (
             after.join(now, ["a", "b"], "left_anti").limit(1).count()
         )
+        discard(now)
         now = after
         if not changed:
             break

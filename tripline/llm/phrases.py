@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.tokens import Words, chunks, mix, run_hashes, words_of
-from tripline.session import materialize
+from tripline.session import discard, materialize
 
 WINDOW = 13
 GRAM = 6
@@ -246,9 +246,9 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "kid long, text_hash long, n_words long, n_removed long, kept_sha256 string"
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs``: kid, text_hash, text. Returns the affected documents (once per kid and
-    text_hash) and, for these, ``starts`` of the windows to remove."""
+def changed_documents(docs: DataFrame) -> DataFrame:
+    """``docs``: kid, text_hash, text. What is left of the documents that lose words, once per
+    kid and text_hash. Stages are deleted as soon as the next is written."""
     anchors = docs.select("kid", "text").mapInArrow(_anchor_rows, "anchor long, kid long")
     shared = (
         anchors.groupBy("anchor")
@@ -263,7 +263,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")),
         "document-anchors",
     )
+    discard(shared)
     affected = materialize(docs.join(mine, "kid").dropDuplicates(["kid", "text_hash"]), "affected")
+    discard(mine)
     rows = materialize(
         affected.mapInArrow(_passage_rows, "key long, passage_hash long, passage string, kid long, text_hash long, at int"), "passages"
     )
@@ -281,7 +283,10 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("kid", "text_hash")
         .agg(F.flatten(F.collect_list("s")).alias("starts"))
     )
-    return affected, starts
+    lost = affected.select("kid", "text_hash", "text").join(starts, ["kid", "text_hash"])
+    kept = materialize(lost.mapInArrow(_kept_rows, _KEPT), "kept")
+    discard(affected, rows, located)
+    return kept
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -290,10 +295,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     given = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("kid"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
-    affected, starts = repeated_windows(given)
-    changed = materialize(
-        affected.select("kid", "text_hash", "text").join(starts, ["kid", "text_hash"]).mapInArrow(_kept_rows, _KEPT), "kept"
-    )
+    changed = changed_documents(given)
     whole = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("kid"),
         F.xxhash64("text").alias("text_hash"),
