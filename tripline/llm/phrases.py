@@ -283,9 +283,11 @@ def changed_documents(docs: DataFrame) -> DataFrame:
         .groupBy("kid", "text_hash")
         .agg(F.flatten(F.collect_list("s")).alias("starts"))
     )
+    starts = materialize(starts, "starts")
+    discard(rows, located)
     lost = affected.select("kid", "text_hash", "text").join(starts, ["kid", "text_hash"])
     kept = materialize(lost.mapInArrow(_kept_rows, _KEPT), "kept")
-    discard(affected, rows, located)
+    discard(affected, starts)
     return kept
 
 
