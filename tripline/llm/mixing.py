@@ -188,12 +188,14 @@ def _rounded(base: DataFrame, rated: DataFrame, goals: DataFrame, one: int) -> D
         gap = goals.join(totals, "sid").select("sid", (F.col("target") - F.col("_taken")).alias("_gap"))
         fits = F.when(F.col("_gap") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0)
         miss = F.abs(F.abs("_gap") - F.col("size"))
+        # One document stands for all of its source, size and copies, so a hot source is a few rows.
+        options = taken.groupBy("sid", "size", "copies").agg(F.min(F.struct("_salt", "_j")).alias("_first"))
         chosen = (
-            taken.join(gap, "sid")
+            options.join(gap, "sid")
             .where(fits & (F.col("size") > 0) & (miss < F.abs("_gap")))
             .groupBy("sid")
-            .agg(F.min(F.struct(miss.alias("miss"), "size", "_salt", "_j", F.signum("_gap").cast("int").alias("by"))).alias("c"))
-            .select("sid", "c.size", "c._salt", "c._j", "c.by")
+            .agg(F.min(F.struct(miss.alias("miss"), "size", "_first", F.signum("_gap").cast("int").alias("by"))).alias("c"))
+            .select("sid", "c.size", "c._first._salt", "c._first._j", "c.by")
         )
         changed = taken.join(chosen, identity, "left")
         taken = materialize(
