@@ -16,8 +16,9 @@ The benchmark goes to the executors in parts of at most about ``PART_WORDS`` wor
 is bounded whatever the benchmark's; each part reads the documents once.
 
 A document shorter than an item is one window as a whole. Items with fewer than ``SHINGLE``
-words are one shingle; items without words match nothing; repeated items all count. Null texts
-are empty. Rows are worked on alone, so repeated rows and null ids need no care.
+words are one shingle; items without words match nothing. Items that agree in id and text are one;
+one without an id has no place in ``item_ids`` but counts for ``similarity``, and so for what is
+contaminated. Null texts are empty. Rows are worked on alone, so repeated rows and null ids need no care.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tripline.llm.simhash import majority_bits
 from tripline.llm.tokens import WORD_PATTERN, chunks, run_hashes, words_of
+from tripline.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -162,7 +164,7 @@ def _search_batches(benchmark):
                     own = {k: (v[a : b - k + 1], h[a : b - k + 1]) for k, (v, h) in every.items() if b - a >= k}
                     own |= {k: (v[:0], h[:0]) for k, (v, h) in every.items() if b - a < k}
                     found[row] = known.search(hashes[a:b], own)
-                ids = [sorted(f) for f in found]
+                ids = [sorted(i for i in f if i is not None) for f in found]
                 best = [max(f.values()) if f else 0.0 for f in found]
                 columns = [part.column("id"), part.column("text_hash"), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())]
                 yield pa.record_batch(columns, names=["id", "text_hash", "item_ids", "similarity"])
@@ -173,7 +175,7 @@ def _search_batches(benchmark):
 def benchmark_parts(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Benchmark]:
     """The items in parts of bounded size."""
     given = items.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    given = given.where("id is not null and text is not null")
+    given = materialize(given.where("text is not null").distinct(), "benchmark-items")
     words = given.agg(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN)))).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
     for p in range(parts):
@@ -184,8 +186,8 @@ def benchmark_parts(items: DataFrame, id_column: str = "item_id", text_column: s
 def contaminated(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``item_ids`` (sorted, of all matching items) and the greatest
-    ``similarity`` of every row. Over several parts, rows of one id and text are one row."""
+    """``doc_id``, ``text_hash``, ``item_ids`` (sorted, of all matching items that have one) and the
+    greatest ``similarity`` (0 where nothing matches) of every row. Over several parts, rows of one id and text are one row."""
     text = F.col(text_column).cast("string")
     given = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = given.schema["id"].dataType.simpleString()
@@ -203,7 +205,7 @@ def contaminated(
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
-        (F.size("item_ids") > 0).alias("contaminated"),
+        (F.col("similarity") > 0).alias("contaminated"),
         F.size("item_ids").cast("long").alias("n_items"),
         "item_ids",
         "similarity",
