@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import decontam, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
+from tripline.llm import alignment, decontam, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contaminated(*tables))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(_table(spark, sf_dir, "documents"))
+
+
 def _secrets_sql() -> str:
     """Matches with their positions, and all windows of all candidates, each counted anew."""
     assign = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -118,6 +122,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_decontamination": op10_decontamination,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {
