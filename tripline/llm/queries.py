@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import alignment, decontam, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
+from tripline.llm import alignment, decontam, merkle, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contaminated(*tables))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(_table(spark, sf_dir, "documents"))
 
@@ -122,11 +126,13 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {
     "op4_secret_scans": _secrets_sql(),
+    "op11_merkle_manifest": merkle.oracle(),
     "op1_segment_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
