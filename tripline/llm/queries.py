@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import alignment, decontam, merkle, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, topk, toxicity
+from tripline.llm import alignment, decontam, merkle, mixing, phrases, quality, secrets, sharding, simhash, suffix_tree, suffixes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 def _secrets_sql() -> str:
     """Matches with their positions, and all windows of all candidates, each counted anew."""
     assign = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -128,6 +132,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
