@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tripline.sinks.buckets import read_catalog
 from tripline.sinks.catalog import current_version, read_snapshot
 from tripline.streaming.incremental import ingest_stream
 
@@ -40,14 +41,15 @@ def test_ingest_stream(spark, tmp_path):
 
     _listing(spark, "x", ["a.jpg", "a.jpg.json"]).coalesce(1).write.mode("append").parquet(landing)
     run()
-    assert [r.url for r in read_snapshot(spark, root).collect()] == ["u-x"]
+    assert [r.url for r in read_catalog(spark, root).collect()] == ["u-x"]
     for _ in range(2):
         _listing(spark, "y", ["a.jpg", "a.jpg.json", "b.mp4"]).coalesce(1).write.mode(
             "append"
         ).parquet(landing)
         run()
-        got = sorted((r.url or "", r.kind) for r in read_snapshot(spark, root).collect())
+        got = sorted((r.url or "", r.kind) for r in read_catalog(spark, root).collect())
         assert got == [("", "video"), ("u-x", "photo"), ("u-y", "photo")]
+    # The empty catalog, the first batch, the second; the repeated one changed nothing.
     assert current_version(spark, root) == 3
 
 

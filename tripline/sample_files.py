@@ -17,7 +17,8 @@ from tripline.plans.ingest import media_side, resolve_files
 from tripline.operators import resolve
 from tripline.operators.matching import match_sidecars
 from tripline.operators.upsert import upsert_media
-from tripline.session import materialize, tune
+from tripline.session import materialize, scratch_path, tune
+from tripline.sinks.buckets import create_catalog
 from tripline.sources.exif import exif_columns
 from tripline.sources.sidecars import parse_sidecars
 
@@ -196,6 +197,19 @@ def earlier_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.stored(spark, sf_dir, "earlier", lambda: _earlier(spark, sf_dir))
 
 
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def earlier_buckets(spark: SparkSession, sf_dir: str) -> str:
+    """Where the earlier catalog is kept in buckets."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROOTS:
+        root = scratch_path(spark, "earlier-buckets")
+        create_catalog(earlier_catalog(spark, sf_dir), root, buckets=32)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = media_side(listing(spark, sf_dir))
     return match_sidecars(files, materialize(sidecars(spark, sf_dir), "sidecars"))

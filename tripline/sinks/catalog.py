@@ -11,26 +11,27 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def _commits(spark: SparkSession, root: str) -> list[int]:
     """Versions that have a whole commit file, oldest first."""
-    fs, folder = _file_system(spark, f"{root}/commits")
+    fs, folder = file_system(spark, f"{root}/commits")
     if not fs.exists(folder):
         return []
     names = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder)]
     return sorted(int(n.removesuffix(".json")) for n, size in names if n.endswith(".json") and size)
 
 
-def _commit_path(root: str, version: int) -> str:
+def commit_path(root: str, version: int) -> str:
     return f"{root}/commits/{version:020d}.json"
 
 
@@ -39,6 +40,26 @@ def current_version(spark: SparkSession, root: str) -> int:
     return max(_commits(spark, root), default=0)
 
 
+def commit(spark: SparkSession, root: str, version: int, text: str) -> bool:
+    """Make a version current by creating its commit file; False if another writer has it."""
+    fs, path = file_system(spark, commit_path(root, version))
+    if fs.exists(path):
+        if fs.getFileStatus(path).getLen():
+            return False
+        fs.delete(path, False)  # of a writer that died between creating and filling it
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def write_snapshot(table: DataFrame, root: str) -> int:
     """Write the table as the next version, then commit it. Readers of the version before are
     not disturbed, and a job that dies leaves no current version half written.
@@ -59,22 +80,16 @@ def write_snapshot(table: DataFrame, root: str) -> int:
     if "local_year" in rows.columns:
         writer = writer.partitionBy("local_year")
     writer.parquet(f"{root}/{folder}")
-    commit = json.dumps({"version": version, "folder": folder, "schema": table.schema.jsonValue()})
-    fs, path = _file_system(spark, _commit_path(root, version))
-    if fs.exists(path) and not fs.getFileStatus(path).getLen():
-        fs.delete(path, False)  # of a writer that died between creating and filling it
-    out = fs.create(path, False)
-    try:
-        out.write(bytearray(commit.encode()))
-    finally:
-        out.close()
+    text = json.dumps({"version": version, "folder": folder, "schema": table.schema.jsonValue()})
+    if not commit(spark, root, version, text):
+        raise FileExistsError(f"version {version} of {root} is another writer's")
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The current (or a given) version."""
     chosen = current_version(spark, root) if version is None else version
-    text = spark.read.text(_commit_path(root, chosen), wholetext=True).first()[0]
-    commit = json.loads(text)
-    schema = StructType.fromJson(commit["schema"])
-    return spark.read.schema(schema).parquet(f"{root}/{commit['folder']}").select(*schema.fieldNames())
+    text = spark.read.text(commit_path(root, chosen), wholetext=True).first()[0]
+    found = json.loads(text)
+    schema = StructType.fromJson(found["schema"])
+    return spark.read.schema(schema).parquet(f"{root}/{found['folder']}").select(*schema.fieldNames())
