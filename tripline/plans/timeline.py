@@ -65,6 +65,19 @@ def build_stays(
     return country_stays(points, hours, by)
 
 
+def join_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """``rows`` (track_id, taken_at, _month) with each of ``windows`` (track_id, _start, _end) that they
+    lie in. An item has one month, so it meets a window once."""
+    last = F.col("_end") - F.expr("interval 1 microsecond")
+    months = F.sequence(F.trunc("_start", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    cut = windows.where("_start < _end").withColumn("_month", F.explode(months))
+    r, w = rows.alias("r"), cut.alias("w")
+    same = (F.col("r.track_id") == F.col("w.track_id")) & (F.col("r._month") == F.col("w._month"))
+    within = (F.col("r.taken_at") >= F.col("w._start")) & (F.col("r.taken_at") < F.col("w._end"))
+    more = [c for c in windows.columns if c != "track_id"]
+    return r.join(w, same & within).select("r.*", *[f"w.{c}" for c in more]).drop("_month")
+
+
 def rebuild_timelines(
     knobs: DataFrame, media: DataFrame, place: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +85,9 @@ def rebuild_timelines(
 
     ``knobs`` has timeline_id, track_id, start, end (timestamps) and the optional level,
     region (array), merge_km, min_hours; a NULL knob takes its default, a row without start
-    and end has no stored knobs and is skipped. The join is an equality on the track with
-    the time range as residual condition; timelines then run side by side as groups.
+    and end has no stored knobs and is skipped. Windows are taken apart into their months, and
+    items meet the windows of their track and month only; the earliest start and the latest
+    end are a filter on the scan of the items. Timelines then run side by side as groups.
     """
     chosen = knobs.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
         "timeline_id",
@@ -85,9 +99,10 @@ def rebuild_timelines(
         F.coalesce("merge_km", F.lit(DEFAULT_MERGE_KM)).cast("double").alias("merge_km"),
         F.coalesce("min_hours", F.lit(DEFAULT_MIN_HOURS)).cast("double").alias("min_hours"),
     )
-    rows = located_with_place(media, place)
-    in_window = (F.col("taken_at") >= F.col("_start")) & (F.col("taken_at") < F.col("_end"))
-    joined = rows.join(chosen, "track_id").where(in_window)
+    bounds = chosen.agg(F.min("_start"), F.max("_end")).first()
+    inside = media.where(F.col("taken_at").between(*map(F.lit, bounds))) if bounds[0] else media.limit(0)
+    rows = located_with_place(inside, place).withColumn("_month", F.trunc("taken_at", "month"))
+    joined = join_windows(rows, chosen)
     in_region = (F.size("_region") <= 0) | F.array_contains("_region", F.upper("country_code"))
     joined = joined.where(F.col("_region").isNull() | in_region)
     by = ("timeline_id", "track_id", "level", "merge_km", "min_hours")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline import sample
+from tripline import sample_files as files
 from tripline.functions.geo import haversine_km
 from tripline.functions.labels import city_label, photo_id
 from tripline.operators import catalog, documents, explore
 from tripline.operators.clusters import cluster_runs, leader_clusters
 from tripline.operators.runs import segment_runs, smooth_runs, stays
 from tripline.plans import timeline as plan
+from tripline.plans import travel
 from tripline.queries import base_sql as b
+from tripline.queries import files_sql
 
 START, END = "2024-01-03", "2024-01-28"
 QUERIES, SQL = {}, {}
@@ -402,3 +405,45 @@ g AS (SELECT track_id, cc, city, cell, grouping(city) + grouping(cell) AS g, cou
 SELECT track_id, CASE g WHEN 2 THEN 'country' WHEN 1 THEN 'city' ELSE 'area' END AS level, cc, city,
   CAST(cell AS VARCHAR) AS cell, n AS photos, {b.mean_sql("slat")} AS lat, {b.mean_sql("slng")} AS lng
 FROM g WHERE g = 2 OR city IS NOT NULL"""
+
+
+@_query
+def rebuild_documents(spark, sf_dir):
+    """Saved documents with their knobs as they are stored, over today's catalog."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    build = F.struct(text("start"), text("end"), "level", "region", "merge_km", "min_hours")
+    saved = knobs(spark, sf_dir).select(
+        F.col("timeline_id").alias("id"), F.concat(F.lit("Trips "), "timeline_id").alias("title"),
+        F.array(F.lit("made by query")).alias("prompts"), "track_id", build.alias("build"),
+    )
+    kept, rebuilt, points = travel.rebuild_documents(saved, sample.media(spark, sf_dir), sample.place(spark, sf_dir))
+    n = points.groupBy("timeline_id").agg(F.count("*").alias("points"))
+    heads = kept.join(n.withColumnRenamed("timeline_id", "id"), "id", "left").select(
+        F.col("id").alias("timeline_id"), "title", F.coalesce("points", F.lit(0)).alias("points")
+    )
+    return _stay_columns(rebuilt.join(heads, "timeline_id"), "timeline_id", "title", "points")
+
+
+SQL["rebuild_documents"] = f"""SELECT r.*, 'Trips ' || timeline_id AS title, n.points FROM ({SQL["rebuild_timelines"]}) r
+JOIN (WITH {KNOBS_SQL} SELECT timeline_id, count(*) AS points FROM mine GROUP BY timeline_id) n USING (timeline_id)"""
+
+
+@_query
+def pipeline_stays(spark, sf_dir):
+    """From files, documents and lookups to stays, in one chain over an empty catalog."""
+    none = files.empty_catalog(spark)
+    done = travel.travel(
+        files.listing(spark, sf_dir), files.documents(spark, sf_dir), files.exif(spark, sf_dir), files.tz_cells(spark, sf_dir),
+        none, sample.geo_place(spark, sf_dir).limit(0), sample.responses(spark, sf_dir),
+    )
+    return _stay_columns(done.stays)
+
+
+_CELL = b.parent_sql("base_cell", 17)
+SQL["pipeline_stays"] = f"""WITH RECURSIVE {files_sql.RESOLVE_FRESH},
+answered AS (SELECT DISTINCT {_CELL} AS cell_id FROM media WHERE base_cell IS NOT NULL),
+named AS (SELECT cell_id, CASE cell_id % 3 WHEN 0 THEN 'SG' WHEN 1 THEN 'JP' ELSE 'TH' END AS cc FROM answered
+  WHERE cell_id % 13 <> 0 AND cell_id % 11 <> 0 AND cell_id % 17 <> 0 AND cell_id % 6 < 5),
+t_items AS (SELECT u AS track_id, key AS media_id, epoch_us(taken_at) AS us, local_date, latitude AS lat, longitude AS lng, url, cc
+  FROM rs_w JOIN named ON {_CELL} = cell_id WHERE latitude IS NOT NULL),
+{b.runs_sql("t_items", "cc")}, {b.smooth_sql("runs")} {b.stays_select("smooth")}"""
