@@ -20,22 +20,31 @@ SOURCE_SIDECAR, SOURCE_EXIF, SOURCE_MTIME, SOURCE_MANUAL = (
 )
 
 
+#: Names that Python's list has and Spark's conversions refuse; the first two name no zone.
+_REFUSED = {"Factory": None, "localtime": None, "ROC": "Asia/Taipei"}
+
+
 @functools.cache
 def _zone_pattern() -> str:
-    """All IANA names of the ``Area/City`` form, and UTC, as one pattern branching by area."""
+    """All IANA names, also those without an area (``Japan``, ``GMT``), as one pattern branching by
+    area."""
     areas: dict[str, list[str]] = {}
-    for name in sorted(zoneinfo.available_timezones()):
-        area, slash, city = name.partition("/")
-        if slash and area != "posix" and area != "right":
-            areas.setdefault(area, []).append(re.escape(city))
-    branches = [f"{area}/(?:{'|'.join(cities)})" for area, cities in areas.items()]
-    return f"^(?:{'|'.join(branches)}|UTC)$"
+    for name in sorted(zoneinfo.available_timezones() - set(_REFUSED)):
+        area, slash, city = name.rpartition("/")
+        if not area.startswith(("posix", "right")):
+            areas.setdefault(area + slash, []).append(re.escape(city))
+    branches = [f"{area}(?:{'|'.join(cities)})" for area, cities in areas.items()]
+    return f"^(?:{'|'.join(branches)})$"
 
 
 def valid_zone(tz: Column) -> Column:
     """The zone itself if known, else NULL: the conversion functions raise on unknown ones.
     A single pattern literal, since hundreds of literals would slow the analyzer down."""
-    return F.when(tz.rlike(_zone_pattern()), tz)
+    known = F.when(tz.rlike(_zone_pattern()), tz)
+    for name, same in _REFUSED.items():
+        if same:
+            known = F.when(tz == name, F.lit(same)).otherwise(known)
+    return known
 
 
 def local_date(taken_at: Column, tz: Column) -> Column:

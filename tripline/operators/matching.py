@@ -20,7 +20,6 @@ from tripline.functions.names import (
     candidates_of,
     implied_media_name,
     sidecar_counter,
-    strip_edited,
     with_name_parts,
 )
 from tripline.functions.text import stem_of
@@ -31,6 +30,11 @@ FILE = ["track_id", "path"]
 FOLDER = ["track_id", "dir"]
 
 
+def taken_apart(media: DataFrame) -> DataFrame:
+    """``media`` with its name parts, which are found once for all tiers."""
+    return media if "_core" in media.columns else with_name_parts(media.select(*FILE, "dir", "name"))
+
+
 def _first_hit(hits: DataFrame, rank: Column) -> DataFrame:
     return hits.groupBy(*FILE).agg(F.min_by("sidecar", rank).alias("sidecar"))
 
@@ -38,7 +42,7 @@ def _first_hit(hits: DataFrame, rank: Column) -> DataFrame:
 def match_exact(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """(track_id, path, sidecar) by exact names regardless of case; names of the unedited original come
     after the media's own. Of sidecars equal but for case the last one counts."""
-    rows = with_name_parts(media.select(*FILE, "dir", "name"))
+    rows = taken_apart(media)
     ext, original = F.col("_ext"), F.concat("_original", "_ext")
     own = candidates_of(F.col("name"), F.col("_core"), ext, F.col("_n"))
     edited = candidates_of(original, F.col("_original_core"), ext, F.col("_original_n"))
@@ -72,7 +76,7 @@ def match_title(media: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.when(F.count(F.lit(1)) == 1, F.min("_sidecar")).alias("_only"),
         F.min(F.when(F.col("_n") == "0", F.col("_sidecar"))).alias("_plain"),
     )
-    rows = with_name_parts(media.select(*FILE, "dir", "name"))
+    rows = taken_apart(media)
     own = bases_of(F.col("_core"), F.col("_ext"))
     edited = bases_of(F.col("_original_core"), F.col("_ext"))
     bases = F.when(F.col("_original").isNull(), own).otherwise(F.concat(own, edited))
@@ -100,7 +104,8 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
         .groupBy(*FOLDER, "_prefix")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_sidecar"))
     )
-    target = F.lower(F.coalesce(strip_edited(F.col("name")), F.col("name")))
+    media = taken_apart(media)
+    target = F.lower(F.coalesce(F.concat("_original", "_ext"), "name"))
     shortest = F.greatest(F.lit(_MIN_PREFIX), F.floor(F.length("_target") / 2).cast("int"))
     prefixes = (
         media.select(*FILE, "dir", target.alias("_target"))
@@ -142,13 +147,12 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
 
 
 def match_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Every media file with its sidecar path and tier (NULL for none). The few files without
-    an exact hit are written once; the later tiers work on them alone."""
-    media = files.where(F.col("kind").isNotNull())
-    exact = materialize(
-        media.select(*FILE, "dir", "name").join(match_exact(media, sidecars), FILE, "left"),
-        "exact",
-    )
+    """Every media file with its sidecar path and tier (NULL for none). Names are taken apart
+    once. The few files without an exact hit are written once; the later tiers work on them
+    alone."""
+    media = taken_apart(files.where(F.col("kind").isNotNull()))
+    media = materialize(media, "names")
+    exact = materialize(media.join(match_exact(media, sidecars), FILE, "left"), "exact")
     left = exact.where(F.col("sidecar").isNull()).drop("sidecar")
     later = (
         left.join(match_title(left, sidecars).withColumnRenamed("sidecar", "_b"), FILE, "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripline.functions.geo import cell_of, cell_parent
+from tripline.functions.geo import BASE_LEVEL, cell_level, cell_of, cell_parent
 from tripline.functions.identity import dedupe_key
 from tripline.functions.times import SOURCE_MANUAL, in_months, local_date, taken_at
 
@@ -81,17 +81,46 @@ def join_sidecars(files: DataFrame, matches: DataFrame, sidecars: DataFrame) ->
     )
 
 
+def has_cheap_identity() -> Column:
+    """Whether the sidecar alone tells what the file is: by an address, or title and time."""
+    sc = F.col("sc")
+    return F.coalesce(sc.url != "", F.lit(False)) | (F.coalesce(sc.title != "", F.lit(False)) & sc.epoch.isNotNull())
+
+
+def add_settled(files: DataFrame, previous: DataFrame, months: tuple[str, str] | None = None, force: bool = False) -> DataFrame:
+    """Add ``settled``: the action of a file for which the sidecar and three columns of the catalog
+    are enough to leave it alone, else NULL. Such a file needs no image, no zone, and no other
+    column of the catalog. Its stored key is the one of its sidecar, and neither changed."""
+    sc = F.col("sc")
+    none = F.lit(None).cast("string")
+    cheap = F.col("error").isNull() & has_cheap_identity()
+    key = dedupe_key(sc.url, sc.title, sc.epoch, none, none, F.col("name"), F.col("size"))
+    # What cannot be settled has a key of its own, which no row of the catalog has.
+    rows = files.withColumn("_key", F.when(cheap, key).otherwise(F.concat(F.lit("?"), "path")))
+    whole = previous.where("taken_at is not null").select(
+        "track_id", F.col("dedupe_key").alias("_key"), F.struct(F.col("sidecar_fingerprint").alias("fingerprint")).alias("_known")
+    )
+    if force:
+        whole = whole.limit(0)
+    same = F.col("_known").isNotNull() & F.col("_known.fingerprint").eqNullSafe(sc.fingerprint)
+    early = F.lit(False)
+    if months:
+        early = F.col("error").isNull() & sc.epoch.isNotNull() & ~in_months(F.timestamp_seconds(sc.epoch), *months)
+    settled = F.when(early, "filtered").when(same, "skipped")
+    return rows.join(whole, ["track_id", "_key"], "left").withColumn("settled", settled).drop("_key", "_known")
+
+
 def join_exif(files: DataFrame, exif: DataFrame) -> DataFrame:
     """Add struct ``ex`` where the image has to be consulted: a photo whose sidecar lacks
-    location, time or identity. The hash counts only where the identity is lacking."""
+    location, time or identity. The hash counts only where the identity is lacking. Of the EXIF
+    table only rows of such files come to the join."""
     sc = F.col("sc")
-    cheap = F.coalesce(sc.url != "", F.lit(False)) | (
-        F.coalesce(sc.title != "", F.lit(False)) & sc.epoch.isNotNull()
-    )
+    cheap = has_cheap_identity()
     need = (F.col("kind") == "photo") & (sc.lat.isNull() | sc.epoch.isNull() | ~cheap)
+    asked = exif.join(files.where(need).select("track_id", "path"), ["track_id", "path"], "left_semi")
     # One row per file, whatever the table holds: a second one must not multiply the file.
     order = F.struct("datetime_text", "lat", "lng", "perceptual_hash")
-    image = exif.groupBy("track_id", "path").agg(
+    image = asked.groupBy("track_id", "path").agg(
         F.min_by(F.struct("datetime_text", "lat", "lng", "perceptual_hash", "meta"), order).alias("_ex")
     )
     hashed = F.when(cheap, F.lit(None)).otherwise(F.col("_ex.perceptual_hash"))
@@ -148,16 +177,28 @@ def resolve_location(rows: DataFrame) -> DataFrame:
     ).drop("_loc")
 
 
-def assign_timezone(rows: DataFrame, tz_cells: DataFrame, level: int = TZ_LEVEL) -> DataFrame:
-    """Zone of the item's coarse cell, by a join with a (cell, tz) table; else NULL. Of several
-    zones of one cell (on a border) the first by name counts."""
-    cell = cell_parent(cell_of(F.col("latitude"), F.col("longitude")), level)
+def assign_timezone(rows: DataFrame, tz_cells: DataFrame) -> DataFrame:
+    """Zone of the finest cell around the item that the cover ``tz_cells`` (cell, tz) has; else NULL.
+    The cover may mix levels: coarse cells inside a zone, finer ones along its borders. Of two
+    zones of one and the same cell the first by name counts.
+
+    Items are reduced to their cells before these meet the cover, so a cell that a third of all
+    items share meets it once."""
+    zones = tz_cells.where("cell is not null").groupBy("cell").agg(F.min("tz").alias("tz"))
+    # A grid has BASE_LEVEL levels, so no more numbers than that.
+    levels = sorted((r[0] for r in zones.select(cell_level(F.col("cell"))).distinct().collect()), reverse=True)
+    levels = [n for n in levels if n <= BASE_LEVEL]
+    if not levels:
+        return rows.withColumn("zone", F.lit(None).cast("string"))
+    cell = cell_parent(cell_of(F.col("latitude"), F.col("longitude")), levels[0])
     # Unlocated rows get keys of their own instead of one hot NULL key; no cell is negative.
     spread = -1 - F.pmod(F.hash("path"), F.lit(1 << 20)).cast("long")
-    zones = tz_cells.groupBy(F.col("cell").alias("_cell")).agg(F.min("tz").alias("zone"))
-    return (
-        rows.withColumn("_cell", F.coalesce(cell, spread)).join(zones, "_cell", "left").drop("_cell")
-    )
+    rows = rows.withColumn("_cell", F.coalesce(cell, spread))
+    around = F.array(*[F.struct(F.lit(n).alias("n"), cell_parent(F.col("_cell"), n).alias("cell")) for n in levels])
+    met = rows.where("_cell >= 0").select("_cell").distinct().withColumn("_a", F.explode(around))
+    named = met.select("_cell", "_a.n", "_a.cell").join(zones, "cell")
+    finest = named.groupBy("_cell").agg(F.max_by("tz", "n").alias("zone"))
+    return rows.join(finest, "_cell", "left").drop("_cell")
 
 
 def resolve_time(rows: DataFrame) -> DataFrame:

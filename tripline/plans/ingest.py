@@ -19,6 +19,7 @@ from tripline.sources.sidecars import parse_sidecars
 @dataclass
 class Ingested:
     catalog: DataFrame  # the next snapshot
+    changes: DataFrame  # what is new in it, for a merge
     rows: DataFrame  # every file with its action
     stats: DataFrame
     quarantine: DataFrame
@@ -43,15 +44,22 @@ def resolve_files(
     months: tuple[str, str] | None = None,
     force: bool = False,
 ) -> DataFrame:
-    """Every media file with identity, location, time and action."""
+    """Every media file with its action; those that the sidecar and the catalog do not settle
+    with identity, location and time, too. The files that are settled, in a repeated run nearly
+    all, leave before EXIF rows, zones and the catalog's other columns are joined."""
     rows = resolve.join_sidecars(files.where(F.col("kind").isNotNull()), matches, sidecars)
-    rows = resolve.add_identity(resolve.join_exif(rows, exif))
     if "error" not in rows.columns:
         rows = rows.withColumn("error", F.lit(None).cast("string"))
-    rows = rows.join(resolve.load_previous(previous), resolve.KEY, "left")
-    rows = resolve.resolve_location(rows)
-    rows = resolve.resolve_time(resolve.assign_timezone(rows, tz_cells))
-    return resolve.classify(rows, months, force)
+    rows = resolve.add_settled(rows, previous, months, force)
+    # Only what goes on needs the document itself.
+    text = F.when(F.col("settled").isNull(), F.col("sc.json"))
+    rows = materialize(rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", text))), "settled")
+    settled = rows.where("settled is not null").withColumnRenamed("settled", "action")
+    rest = resolve.add_identity(resolve.join_exif(rows.where("settled is null").drop("settled"), exif))
+    rest = rest.join(resolve.load_previous(previous), resolve.KEY, "left")
+    rest = resolve.resolve_location(rest)
+    rest = resolve.resolve_time(resolve.assign_timezone(rest, tz_cells))
+    return resolve.classify(rest, months, force).unionByName(settled, allowMissingColumns=True)
 
 
 def ingest(
@@ -75,10 +83,12 @@ def ingest(
         documents = documents.where(in_folder_years(F.col("dir"), *months))
     sidecars = materialize(parse_sidecars(documents), "sidecars")
     matches = match_sidecars(files, sidecars)
-    rows = resolve_files(files, matches, sidecars, exif, tz_cells, catalog, months, force)
+    # Four results are taken from the rows.
+    rows = materialize(resolve_files(files, matches, sidecars, exif, tz_cells, catalog, months, force), "rows")
     changes = resolve.resolve_duplicates(resolve.catalog_rows(rows))
     return Ingested(
         catalog=upsert_media(catalog, changes, now),
+        changes=changes,
         rows=rows,
         stats=resolve.ingest_stats(rows, skipped_folders),
         quarantine=resolve.quarantine(rows),

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tripline import sample, sample_files as s
 from tripline.operators import catalog
+from tripline.operators.upsert import upsert
 from tripline.queries import base_sql as b
 from tripline.queries import files_sql as q
 from tripline.queries import timeline as t
 from tripline.session import scratch_path
+from tripline.sinks import buckets, export
 from tripline.sinks import catalog as snapshots
-from tripline.sinks import export
 from tripline.sources import exif as exif_source
 from tripline.sources import files
 
@@ -161,14 +162,41 @@ SQL["export_geojson_features"] = f"""WITH {b.MEDIA} SELECT track_id, media_id, {
 
 @_query
 def write_catalog(spark, sf_dir):
-    """Two versions; the second is current."""
+    """The located items, and a merge that adds the others and writes some once more."""
     root = scratch_path(spark, "catalog")
-    media = sample.media(spark, sf_dir)
-    snapshots.write_snapshot(media.where(F.col("latitude").isNotNull()), root)
-    snapshots.write_snapshot(media, root)
-    return snapshots.read_snapshot(spark, root).select(
+    media, located = sample.media(spark, sf_dir), F.col("latitude").isNotNull()
+    moved = media.withColumn("latitude", F.col("latitude") + F.lit(1.0))
+    first = moved.where(located & (F.col("media_id") % 50 == 0)).unionByName(media.where(located & (F.col("media_id") % 50 != 0)))
+    buckets.create_catalog(first, root, ["track_id", "media_id"], 32)
+    changes = media.where(~located | (F.col("media_id") % 50 == 0))
+    buckets.merge_catalog(changes, root, apply=lambda old, new, now, key: upsert(old, new, key))
+    return buckets.read_catalog(spark, root).select(
         "media_id", "track_id", F.col("local_date").cast("string").alias("local_date"), "latitude"
     )
 
 
 SQL["write_catalog"] = f"""WITH {b.MEDIA} SELECT media_id, track_id, CAST(local_date AS VARCHAR) AS local_date, latitude FROM media"""
+
+
+@_query
+def write_snapshot(spark, sf_dir):
+    """Two versions of a whole table; the second is current."""
+    root = scratch_path(spark, "snapshots")
+    media = sample.media(spark, sf_dir)
+    snapshots.write_snapshot(media.where(F.col("latitude").isNotNull()), root)
+    snapshots.write_snapshot(media, root)
+    return snapshots.read_snapshot(spark, root).select("media_id", "track_id", "latitude")
+
+
+SQL["write_snapshot"] = f"WITH {b.MEDIA} SELECT media_id, track_id, latitude FROM media"
+
+
+@_query
+def route_source(spark, sf_dir):
+    """Where every listed file is read from; a third each in two stores and in a local folder."""
+    start = F.when(F.col("size") % 3 == 0, "s3://photos/").when(F.col("size") % 3 == 1, "gs://photos/").otherwise("/data/")
+    return s.listing(spark, sf_dir).select("track_id", "path", files.routed(F.concat(start, "path")).alias("uri"))
+
+
+SQL["route_source"] = f"""WITH {q.EV} SELECT u AS track_id, path,
+  CASE size % 3 WHEN 0 THEN 's3a://photos/' WHEN 1 THEN 'gs://photos/' ELSE '/data/' END || path AS uri FROM listing"""

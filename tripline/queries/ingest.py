@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tripline import sample, sample_files as s
 from tripline.functions import names, times
+from tripline.functions.geo import cell_parent
 from tripline.operators import resolve
-from tripline.operators.upsert import upsert_media as upsert
 from tripline.plans.ingest import media_side, resolve_files
 from tripline.queries import base_sql as b
 from tripline.queries import files_sql as q
+from tripline.sinks import buckets
 
 QUERIES, SQL = {}, {}
 MONTHS = ("2024-01", "2024-01")
@@ -88,6 +89,25 @@ def assign_timezone(spark, sf_dir):
 SQL["assign_timezone"] = f"WITH {q.RESOLVE_FRESH} SELECT path, timezone FROM rs"
 
 
+@_query
+def assign_timezone_mixed(spark, sf_dir):
+    """A cover of two levels: every third small cell has a zone of its own within its coarse cell."""
+    media = sample.media(spark, sf_dir).withColumn("path", F.col("media_id").cast("string"))
+    small = media.where("base_cell is not null").select(cell_parent(F.col("base_cell"), 14).alias("cell")).distinct()
+    fine = small.where("cell % 3 = 0").select("cell", F.when(F.col("cell") % 2 == 0, "Japan").otherwise("Asia/Jakarta").alias("tz"))
+    rows = resolve.assign_timezone(media.drop("timezone"), s.tz_cells(spark, sf_dir).unionByName(fine))
+    day = times.local_date(F.col("taken_at"), F.col("zone"))
+    return rows.select("media_id", "zone", day.cast("string").alias("local_date"))
+
+
+SQL["assign_timezone_mixed"] = f"""WITH {q.EV}, {q.EXIF}, mz AS (SELECT media_id, taken_at, {b.parent_sql("base_cell", 14)} AS c14,
+  {b.parent_sql("base_cell", 8)} AS c8 FROM media),
+zoned AS (SELECT media_id, taken_at, CASE WHEN c14 % 3 = 0 AND c14 % 2 = 0 THEN 'Japan' WHEN c14 % 3 = 0 THEN 'Asia/Jakarta'
+  ELSE tz END AS zone FROM mz LEFT JOIN (SELECT cell, min(tz) AS tz FROM tzc GROUP BY cell) ON cell = c8)
+SELECT media_id, zone, CAST(CAST(taken_at + to_hours(CASE WHEN zone IN ('Japan', 'Asia/Tokyo') THEN 9 WHEN zone = 'Asia/Singapore' THEN 8
+  WHEN zone IS NULL THEN 0 ELSE 7 END) AS DATE) AS VARCHAR) AS local_date FROM zoned"""
+
+
 @_query
 def resolve_taken_at(spark, sf_dir):
     return _fresh(spark, sf_dir).select("path", _at("taken_at"), "taken_at_source")
@@ -98,8 +118,9 @@ SQL["resolve_taken_at"] = f"WITH {q.RESOLVE_FRESH} SELECT path, {_ts('taken_at')
 
 @_query
 def local_date(spark, sf_dir):
-    """Every third zone is unknown: the UTC day counts then."""
-    tz = F.when(F.col("media_id") % 3 == 0, "No/Where").otherwise(F.col("timezone"))
+    """Every third zone is unknown: the UTC day counts then. Some names have no area."""
+    known = F.when(F.col("timezone") == "Asia/Tokyo", "Japan").when(F.col("timezone") == "Asia/Singapore", "Singapore")
+    tz = F.when(F.col("media_id") % 3 == 0, "No/Where").otherwise(F.coalesce(known, "timezone"))
     day = times.local_date(F.col("taken_at"), tz)
     return sample.media(spark, sf_dir).select("media_id", day.cast("string").alias("local_date"))
 
@@ -244,9 +265,11 @@ SQL["resolve_duplicates"] = f"WITH {q.RESOLVE} SELECT u AS track_id, key AS dedu
 
 @_query
 def upsert_media(spark, sf_dir):
+    """A merge into the stored catalog. Run again it writes the same rows over themselves."""
     changes = resolve.resolve_duplicates(resolve.catalog_rows(_rows(spark, sf_dir)))
-    now = F.lit(s.NOW).cast("timestamp")
-    return upsert(s.earlier_catalog(spark, sf_dir), changes, now).select(
+    root = s.earlier_buckets(spark, sf_dir)
+    buckets.merge_catalog(changes, root, F.lit(s.NOW).cast("timestamp"))
+    return buckets.read_catalog(spark, root).select(
         "track_id", "dedupe_key", "url", "file_name", "kind", "source_path", _at("taken_at"),
         "taken_at_source", "timezone", _text("local_date"), "latitude", "longitude",
         _text("base_cell"), _text("geo_cell"), "location_source", "sidecar_fingerprint",

@@ -18,6 +18,11 @@ def source_uri(uri: str) -> str:
     return "s3a://" + uri[len("s3://") :] if uri.startswith("s3://") else uri
 
 
+def routed(uri: Column) -> Column:
+    """``source_uri`` of a column, such as the addresses of an inventory or of a catalog."""
+    return F.when(uri.startswith("s3://"), F.concat(F.lit("s3a://"), F.substring(uri, len("s3://") + 1, 1 << 30))).otherwise(uri)
+
+
 def _decoded(path: Column) -> Column:
     """The plain path of a URL-encoded one; a plus sign stands for itself."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
