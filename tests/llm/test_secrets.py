@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import brute
@@ -85,6 +86,17 @@ def test_random_strings(spark, seed):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_a_long_run_takes_time_in_proportion(spark):
+    """An embedded image: one run of a megabyte, the entropy of which is high all over."""
+    rng = random.Random(4)
+    run = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"data:image;{run}="), (2, run[:999] + "a" * 30 + run[:500])], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    assert time.perf_counter() - began < 60
+    assert any(x.startswith("entropy_base64:11:") and int(x.split(":")[2]) > 1_000_000 for x in got[1].split(","))
+
+
 def test_no_python_on_executors(spark):
     plan = secrets.digest(secrets.find_secrets(spark.read.parquet(f"{SF}/documents.parquet")))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -51,6 +51,13 @@ _STEPS = [0] + [
     for c in range(1, WINDOW + 1)
 ]
 
+#: Matches of a text whose positions are added up at a time.
+MATCHES = 128
+#: Windows that are judged at a time.
+BLOCK = 256
+#: The character that stands for no occurrence; counts go up to WINDOW from there.
+_ZERO = 64
+
 
 def most_repetition(bits: float) -> int:
     """The greatest sum of c * log2(c) over a window with at least so much entropy, scaled."""
@@ -61,6 +68,10 @@ def _quoted(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _pieces(df: DataFrame, name: str, pattern: str, group: int, text: str) -> DataFrame:
     """Adds ``name``: the matches of a pattern as structs of start, end and value."""
     lit = F.lit(pattern)
@@ -73,47 +84,64 @@ def _pieces(df: DataFrame, name: str, pattern: str, group: int, text: str) -> Da
         }
     )
     value = f"{name}_v" if group else f"{name}_m"
-    at = f"""aggregate(
-        sequence(1, size({name}_m)),
+    # Positions are sums of what stands before. They are added up in blocks of matches, and those
+    # moved by the sums of the blocks before: appending all to one array would cost the square.
+    size = f"(length({name}_g[i - 1]) + length({name}_m[i - 1]))"
+    inside = f"""aggregate(
+        sequence(q * {MATCHES} + 1, least(size({name}_m), (q + 1) * {MATCHES})),
         named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)),
-        (a, i) -> named_struct(
-            'at', a.at + length({name}_g[i - 1]) + length({name}_m[i - 1]),
-            'out', concat(a.out, array(named_struct(
-                's', a.at + length({name}_g[i - 1]),
-                'e', a.at + length({name}_g[i - 1]) + length({name}_m[i - 1]),
-                'v', {value}[i - 1])))),
-        a -> a.out)"""
+        (a, i) -> named_struct('at', a.at + {size}, 'out', concat(a.out, array(named_struct(
+            's', a.at + length({name}_g[i - 1]), 'e', a.at + {size}, 'v', {value}[i - 1])))))"""
+    blocks = f"transform(sequence(0, (size({name}_m) - 1) div {MATCHES}), q -> {inside})".replace("(q *", "(cast(q as int) *").replace("(q + 1)", "(cast(q as int) + 1)")
+    before = """aggregate(x, named_struct('at', 0, 'out', cast(array() as array<int>)),
+        (a, y) -> named_struct('at', a.at + y.at, 'out', concat(a.out, array(a.at))), a -> a.out)"""
+    moved = "transform(y.out, z -> named_struct('s', z.s + o, 'e', z.e + o, 'v', z.v))"
+    at = _let(blocks, "x", f"flatten(zip_with(x, {before}, (y, o) -> {moved}))")
     found = F.when(F.size(f"{name}_m") > 0, F.expr(at)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)"))
     return df.withColumn(name, found).drop(f"{name}_m", f"{name}_g", f"{name}_v")
 
 
-def _window_spans(candidates: str, k: int, needed: tuple[str, ...], bits: float) -> Column:
-    """Spans of high entropy inside the candidates."""
-    w, limit = WINDOW, most_repetition(bits)
+def _windows(codes: str, begin: str, limit: int) -> str:
+    """(first, last) begin of the windows over some codes that reach the entropy, -1 for none. The
+    state holds how often each code is in the window, as one character per code, and the
+    window's sum; a step looks up and changes the counts of two codes."""
+    w = WINDOW
     step = "array(" + ",".join(f"{x}L" for x in _STEPS) + ")"
-    count = lambda part, ch: f"(length({part}) - length(replace({part}, {ch}, '')))"
-    leaving = f"substring(x.v, i - {w}, 1)"
-    window = f"substring(x.v, i - {w}, {w})"
-    kept = f"substring(x.v, greatest(i - {w - 1}, 1), least(i - 1, {w - 1}))"
-    gone = f"if(i > {w}, {step}[{count(window, leaving)}], 0L)"
-    come = f"{step}[{count(kept, 'substring(x.v, i, 1)')} + 1]"
+    count = lambda counts, code: f"(ascii(substring({counts}, {code} + 1, 1)) - {_ZERO})"
+    put = lambda counts, code, n: f"overlay({counts}, char({_ZERO} + {n}), {code} + 1, 1)"
+    leaving, coming = f"c[i - {w + 1}]", "c[i - 1]"
+    went = count("a.counts", leaving)
+    without = f"""if(i > {w}, named_struct('counts', {put("a.counts", leaving, went + " - 1")}, 'sum', a.sum - {step}[{went}]),
+        named_struct('counts', a.counts, 'sum', a.sum))"""
     # The window that ends before i is judged at step i, when its sum is known.
     hit = f"(i > {w} and a.sum <= {limit}L)"
+    after = f"""named_struct('counts', {put("b.counts", coming, "n + 1")}, 'sum', b.sum + {step}[n + 1],
+        'first', if({hit} and a.first < 0, i - {w + 1}, a.first), 'last', if({hit}, i - {w + 1}, a.last))"""
+    moved = _let(without, "b", _let(count("b.counts", coming), "n", after))
     last = f"(a.sum <= {limit}L)"
-    span = f"""aggregate(
-        sequence(1, length(x.v)),
-        named_struct('sum', 0L, 'first', -1, 'last', -1),
-        (a, i) -> named_struct(
-            'sum', a.sum - {gone} + {come},
-            'first', if({hit} and a.first < 0, i - {w + 1}, a.first),
-            'last', if({hit}, i - 1, a.last)),
-        a -> named_struct(
-            's', x.s + if({last} and a.first < 0, length(x.v) - {w}, a.first), 'k', {k},
-            'e', x.s + if({last}, length(x.v), a.last),
-            'any', {last} or a.first >= 0))"""
+    return _let(codes, "c", f"""aggregate(
+        sequence(1, size(c)),
+        named_struct('counts', repeat(char({_ZERO}), 128), 'sum', 0L, 'first', -1, 'last', -1),
+        (a, i) -> {moved},
+        a -> _let_end)""").replace("_let_end", f"""named_struct(
+            'first', if(a.first >= 0, {begin} + a.first, if({last}, {begin} + size(c) - {w}, -1)),
+            'last', if({last}, {begin} + size(c) - {w}, if(a.last >= 0, {begin} + a.last, -1)))""")
+
+
+def _window_spans(candidates: str, k: int, needed: tuple[str, ...], bits: float) -> Column:
+    """Spans of high entropy inside the candidates, from the first such window to the last. The
+    windows of a long candidate are taken in blocks from either end, until there is one."""
+    w, limit = WINDOW, most_repetition(bits)
+    block = _windows(f"slice(x.codes, f * {BLOCK} + 1, {BLOCK + w - 1})", f"f * {BLOCK}", limit)
+    blocks = f"cast(ceil((size(x.codes) - {w - 1}) / {BLOCK}) as int)"
+    ahead = f"aggregate(sequence(0, {blocks} - 1), named_struct('first', -1, 'last', -1), (z, f) -> if(z.first >= 0, z, {block}))"
+    back = f"aggregate(sequence({blocks} - 1, 0, -1), -1, (z, f) -> if(z >= 0, z, {block}.last))"
+    ends = _let(ahead, "y", f"named_struct('first', y.first, 'last', if({blocks} = 1 or y.first < 0, y.last, {back}))")
     wanted = " and ".join([f"x.v rlike {_quoted(n)}" for n in needed] + [f"not x.v rlike {_quoted(p)}" for p in ALLOWED])
+    coded = "named_struct('s', x.s, 'codes', transform(split(x.v, ''), c -> ascii(c)))"
+    span = _let(ends, "y", f"named_struct('s', x.s + y.first, 'k', {k}, 'e', x.s + y.last + {w}, 'any', y.first >= 0)")
     return F.expr(
-        f"transform(filter(transform(filter({candidates}, x -> {wanted}), x -> {span}), y -> y.any),"
+        f"transform(filter(transform(transform(filter({candidates}, x -> {wanted}), x -> {coded}), x -> {span}), y -> y.any),"
         " y -> named_struct('s', y.s, 'k', y.k, 'e', y.e))"
     )
 
