@@ -65,3 +65,22 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kid", F.lit(1)).withColumn("starts", F.lit("x"))
     check(docs)
     assert check(docs.limit(0)) == []
+
+
+def test_many_rows_without_an_id(spark):
+    """All rows without an id are one document: what they share among themselves stays."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(None, " ".join([f"{d}x{i}" for i in range(40)] + shared[rng.randint(0, 9) :])) for d in range(400)]
+    rows += [(3, "a " + " ".join(shared[20:50])), (4, " ".join(shared[:30]) + " b")]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r[2] for r in got if r[0] is None) > 400 * 30
+
+
+@pytest.mark.parametrize("shard", [20000, 5])
+def test_automata_find_windows_of_earlier_documents(monkeypatch, shard):
+    monkeypatch.setattr(phrases, "SHARD", shard)
+    words = [f"w{i}" for i in range(30)]
+    first, later, same = " ".join(words[:20]), " ".join(["x"] + words[5:20]), " ".join(words[3:16])
+    assert phrases.locate([later, first, same], [7, 2, 2]) == [[1, 2, 3], [], []]
+    assert phrases.locate([first, "a " * 12 + "a"], [1, 2]) == [[], []]

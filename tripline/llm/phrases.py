@@ -6,18 +6,21 @@ that starts in a document with a smaller id. Windows are judged on the input.
 1. *Anchors.* A window's anchor is the least hash among its runs of ``GRAM`` words. Equal windows
    have equal anchors, and only about two windows in nine begin a new one. Anchors of at least
    two documents are kept; no other window can recur.
-2. *Passages.* Documents with kept anchors give their passages: runs of windows with one anchor,
-   cut at ``PASSAGE`` windows, keyed by the anchor. Where an anchor is in over ``HOT`` documents,
-   each window is a passage of its own, keyed by its own hash, so that a group of one key never
-   has more than ``HOT`` times ``PASSAGE`` different texts. Equal passages are counted together.
-3. *Automata.* Keys are dealt out; in each task, shards of ``SHARD`` passages confirm which
-   windows recur between documents and compile those into an Aho-Corasick automaton over whole
-   words. All passages of the shard stream through it; every occurrence is returned with the
-   first document of its window. A passage that is the only one under its key needs none:
-   it recurs as a whole or not at all.
-4. Occurrences go back to the documents by passage, and covered words are left out.
-
-Keys and passage identities are 64-bit hashes; windows themselves are compared word by word.
+2. *Passages.* Runs of windows with one kept anchor, cut at ``PASSAGE`` windows, keyed by the
+   anchor. They travel as hashes and places. Of equal passages the one of the first document stands
+   for all: it stays, those of later documents are repeats as a whole.
+3. *Automata.* Where different passages share an anchor, the text of the first of each is read. Keys
+   are dealt out; in each task, shards of ``SHARD`` passages confirm which windows recur and
+   compile those into an Aho-Corasick automaton over whole words. All passages of the shard stream
+   through it, first documents first, and its matches tell where a window of an earlier
+   document occurs. Where an anchor has over ``HOT`` different passages, their windows are keyed
+   one by one by their words.
+4. Marks go back to the documents, and covered words are left out.
+
+What streams through the automata is the distinct passages, not the documents: anchors have
+already told which stretches cannot match, and equal stretches match alike.
+
+Keys and passage identities are 64-bit hashes; windows of different passages are compared word by word.
 
 A null text has no words. A null id counts as larger than all others. Rows with equal ids are
 one document: none of them repeats another. Repeated rows each return their own row.
@@ -41,8 +44,8 @@ from tripline.session import discard, materialize
 WINDOW = 13
 GRAM = 6
 PASSAGE = 12
-#: Documents that may share an anchor before its windows are keyed one by one.
-HOT = 2_000
+#: Different passages that may share an anchor before their windows are keyed one by one.
+HOT = 1_000
 SHARD = 20_000
 #: Stands for a null id: larger than all others.
 LAST = (1 << 63) - 1
@@ -91,18 +94,6 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(anchors.view(np.int64)), pa.array(kid)], names=["anchor", "kid"])
 
 
-def _owned(anchors: np.ndarray, rows: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Which windows have an anchor that the list of their own text holds."""
-    lists = np.repeat(np.arange(len(column), dtype=np.uint64), np.asarray(column.value_lengths()))
-    pair = lambda values, of: values ^ mix(of.astype(np.uint64) + np.uint64(1))
-    known = np.sort(pair(np.asarray(column.flatten()).view(np.uint64), lists))
-    if not len(known):
-        return np.zeros(len(anchors), dtype=bool)
-    mine = pair(anchors, rows)
-    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-    return known[at] == mine
-
-
 def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -110,94 +101,88 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             starts = w.valid(WINDOW)
             if not len(starts):
                 continue
-            text, begins, ends = _joined(w)
             hashes = w.hashes()
             anchors, whole = window_anchors(hashes)[starts], run_hashes(hashes, WINDOW)
             rows = w.rows()[starts]
-            kept = np.flatnonzero(_owned(anchors, rows, part.column("cold")))
-            single = np.flatnonzero(_owned(anchors, rows, part.column("hot")))
-            # A passage ends where the text or the anchor changes, or windows are not neighbours.
-            cut = np.ones(len(kept), dtype=bool)
-            near = (np.diff(starts[kept]) == 1) & (anchors[kept][1:] == anchors[kept][:-1]) & (rows[kept][1:] == rows[kept][:-1])
-            cut[1:] = ~near
-            number = np.arange(len(kept))
+            # A passage ends where the text or the anchor changes.
+            cut = np.append(True, (anchors[1:] != anchors[:-1]) | (rows[1:] != rows[:-1]))
+            number = np.arange(len(starts))
             cut |= (number - np.maximum.accumulate(np.where(cut, number, 0))) % PASSAGE == 0
             at = np.flatnonzero(cut)
-            first = np.concatenate([starts[kept[at]], starts[single]])
-            last = np.concatenate([starts[kept[np.append(at[1:], len(kept)) - 1]] if len(at) else at, starts[single]])
-            owner = np.concatenate([rows[kept[at]], rows[single]])
-            keys = np.concatenate([anchors[kept[at]], whole[starts[single]]])
+            n = np.diff(np.append(at, len(starts)))
+            first, owner = starts[at], rows[at]
             with np.errstate(over="ignore"):
                 # The first and the last window cover a passage of up to PASSAGE windows.
-                identity = mix(whole[first] * np.uint64(31) + whole[last] + (last - first).astype(np.uint64))
-            texts = [text[s:e] for s, e in zip(begins[first].tolist(), ends[last + WINDOW - 1].tolist())]
+                identity = mix(whole[first] * np.uint64(31) + whole[first + n - 1] + n.astype(np.uint64))
             columns = {
-                "key": pa.array(keys.view(np.int64)),
-                "passage_hash": pa.array(identity.view(np.int64)),
-                "passage": pa.array(texts, pa.binary()).cast(pa.string()),
+                "key": pa.array(anchors[at].view(np.int64)),
+                "passage": pa.array(identity.view(np.int64)),
                 "kid": part.column("kid").take(pa.array(owner)),
                 "text_hash": part.column("text_hash").take(pa.array(owner)),
                 "at": pa.array((first - w.first[owner]).astype(np.int32)),
+                "n": pa.array(n.astype(np.int32)),
             }
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def locate(passages: list[str], least: list[int], most: list[int]) -> list[list[tuple[int, int]]]:
-    """For each passage the (offset, first document) of all its windows that recur between
-    documents. ``least`` and ``most`` are the first and last document that hold a passage.
+_TEXTS = "key long, passage long, least long, offset int, hot boolean, words string"
+
 
-    Windows are confirmed on word numbers of this shard alone, then compiled and looked up
-    with one automaton."""
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the passages listed beside each text; those under hot keys window by window."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            text, begins, ends = _joined(w := words_of(part.column("text")))
+            out = []
+            for row, (kid, wanted) in enumerate(zip(part.column("kid").to_pylist(), part.column("wanted").to_pylist())):
+                for p in wanted:
+                    a = int(w.first[row]) + p["at"]
+                    if not p["hot"]:
+                        out.append((p["key"], p["passage"], kid, 0, False, text[begins[a] : ends[a + p["n"] + WINDOW - 2]]))
+                        continue
+                    out += [(p["key"], p["passage"], kid, j, True, text[begins[a + j] : ends[a + j + WINDOW - 1]]) for j in range(p["n"])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)]
+            columns[5] = columns[5].cast(pa.string())
+            yield pa.record_batch(columns, names=["key", "passage", "least", "offset", "hot", "words"])
+
+
+def locate(passages: list[str], least: list[int]) -> list[list[int]]:
+    """For each passage the offsets of its windows that a passage of an earlier document holds.
+    ``least``: the first document of each passage."""
     numbers: dict[str, int] = {}
     rows = [tuple(numbers.setdefault(x, len(numbers)) for x in p.split(" ")) for p in passages]
-    first: dict[tuple, list[int]] = {}
-    for row, low, high in zip(rows, least, most):
+    seen, recurring = set(), set()
+    for row in rows:
         for s in range(len(row) - WINDOW + 1):
-            seen = first.get(window := row[s : s + WINDOW])
-            if seen is None:
-                first[window] = [low, high]
-            else:
-                if low < seen[0]:
-                    seen[0] = low
-                if high > seen[1]:
-                    seen[1] = high
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, (low, high) in first.items():
-        if low < high:
-            automaton.add_word(window, low)
-    if not len(automaton):
-        return [[] for _ in rows]
+            (recurring if (window := row[s : s + WINDOW]) in seen else seen).add(window)
+    out: list[list[int]] = [[] for _ in rows]
+    if not recurring:
+        return out
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for i, window in enumerate(recurring):
+        automaton.add_word(window, i)
     automaton.make_automaton()
-    return [[(end - WINDOW + 1, low) for end, low in automaton.iter(row)] for row in rows]
+    owners: list[int | None] = [None] * len(recurring)
+    for at in sorted(range(len(rows)), key=least.__getitem__):
+        for end, i in automaton.iter(rows[at]):
+            if owners[i] is None:
+                owners[i] = least[at]
+            elif owners[i] < least[at]:
+                out[at].append(end - WINDOW + 1)
+    return out
+
+
+_OFFSETS = "key long, passage long, offsets array<int>"
 
 
 def _shard(rows: pa.Table) -> pa.RecordBatch:
-    """Occurrences in whole groups of one key, sorted by key."""
-    keys = np.asarray(rows.column("key"))
-    least, most = np.asarray(rows.column("least")), np.asarray(rows.column("most"))
-    border = np.append(True, keys[1:] != keys[:-1])
-    alone = border & np.append(border[1:], True)
-    # The only passage under its key is confirmed, or not, as a whole.
-    whole = np.flatnonzero(alone & (least < most))
-    words = np.asarray(pc.count_substring(rows.column("passage").take(pa.array(whole)), " ")) + 1
-    n = words.astype(np.int64) - WINDOW + 1
-    offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    several = np.flatnonzero(~alone)
-    passages = rows.column("passage").take(pa.array(several)).to_pylist()
-    found = locate(passages, least[several].tolist(), most[several].tolist())
-    counts = np.append(n, [len(f) for f in found])
-    offsets = np.append(offsets, [o for f in found for o, _ in f]).astype(np.int32)
-    firsts = np.append(np.repeat(least[whole], n), [d for f in found for _, d in f]).astype(np.int64)
-    bounds = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-    taken = pa.array(np.append(whole, several))
-    columns = [
-        rows.column("key").take(taken).combine_chunks(),
-        rows.column("passage_hash").take(taken).combine_chunks(),
-        pa.ListArray.from_arrays(bounds, pa.array(offsets)),
-        pa.ListArray.from_arrays(bounds, pa.array(firsts)),
-    ]
-    out = pa.record_batch(columns, names=["key", "passage_hash", "offsets", "firsts"])
-    return out.filter(pa.array(counts > 0))
+    """Repeats in whole groups of one key, sorted by key. A passage of a text that is there twice
+    comes twice and counts once: both have the same first document."""
+    found = locate(rows.column("words").to_pylist(), rows.column("least").to_pylist())
+    columns = [rows.column("key").combine_chunks(), rows.column("passage").combine_chunks(), pa.array(found, pa.list_(pa.int32()))]
+    out = pa.record_batch(columns, names=["key", "passage", "offsets"])
+    return out.filter(pc.greater(pc.list_value_length(out.column("offsets")), 0))
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,56 +224,45 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = [text[s:e] for s, e in zip(begins[kept].tolist(), ends[kept].tolist())]
                 removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
-            columns = [part.column("kid"), part.column("text_hash"), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(digests)]
-            yield pa.record_batch(columns, names=["kid", "text_hash", "n_words", "n_removed", "kept_sha256"])
+            columns = [part.column("kid"), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.record_batch(columns, names=["kid", "n_words", "n_removed", "kept_sha256"])
 
 
-_KEPT = "kid long, text_hash long, n_words long, n_removed long, kept_sha256 string"
+_KEPT = "kid long, n_words long, n_removed long, kept_sha256 string"
 
 
-def changed_documents(docs: DataFrame) -> DataFrame:
-    """``docs``: kid, text_hash, text. What is left of the documents that lose words, once per
-    kid and text_hash. Stages are deleted as soon as the next is written."""
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """``docs``: kid, text_hash, text. ``starts`` of all windows to remove, per kid and text_hash.
+    Stages are deleted as soon as the next is written."""
     anchors = docs.select("kid", "text").mapInArrow(_anchor_rows, "anchor long, kid long")
-    shared = (
-        anchors.groupBy("anchor")
-        .agg(F.min("kid").alias("low"), F.max("kid").alias("high"), F.count("*").alias("n"))
-        .where("low < high")
-        .select("anchor", (F.col("n") > HOT).alias("is_hot"))
-    )
-    shared = materialize(shared, "anchors")
-    mine = materialize(
-        anchors.join(shared, "anchor")
-        .groupBy("kid")
-        .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")),
-        "document-anchors",
-    )
-    discard(shared)
-    affected = materialize(docs.join(mine, "kid").dropDuplicates(["kid", "text_hash"]), "affected")
-    discard(mine)
-    rows = materialize(
-        affected.mapInArrow(_passage_rows, "key long, passage_hash long, passage string, kid long, text_hash long, at int"), "passages"
-    )
-    passages = rows.groupBy("key", "passage_hash", "passage").agg(F.min("kid").alias("least"), F.max("kid").alias("most"))
-    dealt = passages.repartition("key").sortWithinPartitions("key")
-    located = materialize(
-        dealt.mapInArrow(_located, "key long, passage_hash long, offsets array<int>, firsts array<long>"), "located"
-    )
-    places = rows.select("key", "passage_hash", "kid", "text_hash", "at")
-    later = F.expr("transform(filter(arrays_zip(offsets, firsts), x -> x.firsts < kid), x -> at + x.offsets)")
-    starts = (
-        places.join(located, ["key", "passage_hash"])
-        .select("kid", "text_hash", later.alias("s"))
-        .where(F.size("s") > 0)
-        .groupBy("kid", "text_hash")
-        .agg(F.flatten(F.collect_list("s")).alias("starts"))
-    )
-    starts = materialize(starts, "starts")
-    discard(rows, located)
-    lost = affected.select("kid", "text_hash", "text").join(starts, ["kid", "text_hash"])
-    kept = materialize(lost.mapInArrow(_kept_rows, _KEPT), "kept")
-    discard(affected, starts)
-    return kept
+    kept = anchors.groupBy(F.col("anchor").alias("key")).agg(F.min("kid").alias("low"), F.max("kid").alias("high")).where("low < high").select("key")
+    kept = materialize(kept, "phrase-anchors")
+    rows = docs.select("kid", "text_hash", "text").mapInArrow(_passage_rows, "key long, passage long, kid long, text_hash long, at int, n int")
+    rows = materialize(rows.join(kept, "key"), "phrase-places")
+    discard(kept)
+    firsts = rows.groupBy("key", "passage").agg(F.min(F.struct("kid", "text_hash", "at", "n")).alias("o"), F.max("kid").alias("high"))
+    firsts = materialize(firsts, "phrase-firsts")
+    sizes = firsts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
+    wanted = firsts.join(sizes, "key").select("o.kid", "o.text_hash", F.struct("key", "passage", "o.at", "o.n", "hot").alias("w"))
+    wanted = materialize(wanted.groupBy("kid", "text_hash").agg(F.collect_list("w").alias("wanted")), "phrase-wanted")
+    texts = docs.select("kid", "text_hash", "text").join(wanted, ["kid", "text_hash"]).mapInArrow(_text_rows, _TEXTS)
+    texts = materialize(texts, "phrase-texts")
+    discard(wanted)
+    dealt = texts.where("not hot").repartition("key").sortWithinPartitions("key")
+    located = dealt.select("key", "passage", "least", "words").mapInArrow(_located, _OFFSETS)
+    single = texts.where("hot").withColumn("own", F.xxhash64("words"))
+    low = single.groupBy("own", "words").agg(F.min("least").alias("low"))
+    single = single.join(low, ["own", "words"]).where("least > low").groupBy("key", "passage").agg(F.collect_set("offset").alias("offsets"))
+    located = materialize(located.unionByName(single), "phrase-located").dropDuplicates(["key", "passage"])
+    known = firsts.select("key", "passage", F.col("o.kid").alias("least"), "high").join(located, ["key", "passage"], "left")
+    known = known.where("high > least or offsets is not null").drop("high")
+    whole = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
+    inside = F.transform("offsets", lambda o: o + F.col("at"))
+    marks = rows.join(known, ["key", "passage"]).where("kid > least or offsets is not null")
+    marks = marks.select("kid", "text_hash", F.when(F.col("kid") > F.col("least"), whole).otherwise(inside).alias("s"))
+    starts = materialize(marks.groupBy("kid", "text_hash").agg(F.flatten(F.collect_list("s")).alias("starts")), "phrase-starts")
+    discard(rows, firsts, texts)
+    return starts
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -297,18 +271,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     given = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("kid"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
-    changed = changed_documents(given)
-    whole = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("kid"),
-        F.xxhash64("text").alias("text_hash"),
-        "text",
-        F.lit(None).cast("array<int>").alias("starts"),
-    )
-    plain = whole.mapInArrow(_kept_rows, _KEPT)
-    new = changed.select("kid", "text_hash", F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha"))
-    return plain.join(new, ["kid", "text_hash"], "left").select(
-        F.when(F.col("kid") != LAST, F.col("kid")).alias("doc_id"),
-        "n_words",
-        F.coalesce("_n", "n_removed").alias("n_removed"),
-        F.coalesce("_sha", "kept_sha256").alias("kept_sha256"),
-    )
+    starts = repeated_windows(given)
+    kept = given.join(starts, ["kid", "text_hash"], "left").select("kid", "text", "starts").mapInArrow(_kept_rows, _KEPT)
+    return kept.select(F.when(F.col("kid") != LAST, F.col("kid")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
