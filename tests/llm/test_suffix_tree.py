@@ -1,10 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import brute
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,29 +54,83 @@ def test_odd_rows(spark):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in suffix_tree.score(alone).collect()] == [(0, 0, 0.0)] * 3
 
 
-def test_states_sum_to_one_and_longest_suffix_is_used(spark):
-    """The distribution after any context, with the rest of the mass on unknown and rare words."""
-    text = "the cat sat on the mat and the cat ran to the dog while the dog sat on the cat " * 30
-    docs = spark.createDataFrame([(d, text + f" r{d}") for d in range(30)], "doc_id long, text string")
-    held = docs.where(~suffix_tree.is_held_out(F.col("doc_id")))
-    counts, tree, total = suffix_tree.fit(held.select("text"))
-    c = {r.key % 2**64: r.n for r in counts.collect()}
-    keys = list(c)
-    compiled = tree.compiled()
-    assert all(len(x[0]) for x in compiled)
-    root = {k: math.log10((c[k] + 0.1) / tree.smooth) for k in keys}
-    by = {i: int(k) for i, k in enumerate(tree.tokens)}
-    contexts = [()] + [s for level in tree.states for s in level] + [(0, 1), (2,)]
-    for context in contexts:
-        path = [by[t] for t in context]
-        p = 0.0
-        for k in keys:
-            run = np.array([*path, k], dtype=np.uint64)
-            gain = suffix_tree.adjustments(run, np.array([0, len(run)]), compiled)[-1]
-            p += 10 ** (root[k] + gain)
-            if tuple(context) in {s for level in tree.states for s in level} and k in set(by.values()):
-                t = [i for i, x in by.items() if x == k][0]
-                assert root[k] + gain == pytest.approx(tree._predict(tuple(context), t))
-        unknown = 0.1 / tree.smooth
-        gain = suffix_tree.adjustments(np.array([*path, 12345], dtype=np.uint64), np.array([0, len(path) + 1]), compiled)[-1]
-        assert p + unknown * 10**gain == pytest.approx(1.0, abs=1e-6)
+def plain_tree(texts):
+    """Counts of all runs, and the states by their definition; tokens are words, None the end."""
+    t = suffix_tree
+    rows = [tokens(x) for x in texts]
+    runs = Counter(tuple(w[i : i + k]) for w in rows for k in range(1, t.DEPTH + 2) for i in range(len(w) - k + 1))
+    total = sum(map(len, rows))
+    distinct = sum(len(r) == 1 for r in runs)
+    follower, context = (max(t.LEAST, x * total ** (2 / 3)) for x in (t.FOLLOWER, t.CONTEXT))
+    root = lambda w: (runs[w,] + t.A) / (total + t.A * (distinct + 1))
+    often = lambda w: runs[w,] >= follower
+    states = {}
+
+    def predict(path, w):
+        for k in range(len(path) + 1):
+            if path[k:] in states:
+                kept, rest = states[path[k:]]
+                return kept[w] if w in kept else rest * predict(path[k + 1 :], w)
+        return root(w)
+
+    for depth in range(1, t.DEPTH + 1):
+        found = {}
+        for path in [r for r in runs if len(r) == depth and runs[r] >= context and all(map(often, r))]:
+            kept = {r[-1]: (n - t.DISCOUNT) / runs[path] for r, n in runs.items() if len(r) == depth + 1 and r[:-1] == path and n >= follower and often(r[-1])}
+            below = {w: predict(path[1:], w) for w in kept}
+            mass, suffix = sum(kept.values()), sum(below.values())
+            if kept and mass < 1 and suffix < 1:
+                diverges = sum(p * math.log(p / below[w]) for w, p in kept.items()) + (1 - mass) * math.log((1 - mass) / (1 - suffix))
+                if diverges >= t.DIVERGENCE:
+                    found[path] = (kept, (1 - mass) / (1 - suffix))
+        states |= found
+    return predict, states, sorted({w for r in runs if len(r) == 1 for w in r}, key=repr), root
+
+
+def sentences(n):
+    rng = random.Random(2)
+    grammar = {"the": "cat dog mat big", "big": "cat dog", "cat": "sat ran and", "dog": "sat ran and", "sat": "on the", "ran": "to the", "on": "the", "to": "the", "mat": "and the", "and": "the"}
+    out = []
+    for i in range(n):
+        words = ["the"]
+        while len(words) < 60:
+            words.append(rng.choice(grammar.get(words[-1], "the").split()))
+        out.append((i, " ".join([*words, f"r{i}"])))
+    return out
+
+
+def test_scores_against_a_plain_tree(spark):
+    rows = sentences(120)
+    predict, states, _, _ = plain_tree([x for d, x in rows if brute.crc(d) % 10])
+    assert {len(s) for s in states} == set(range(1, suffix_tree.DEPTH + 1))
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, x in rows:
+        w = tokens(x)
+        want = sum(math.log10(predict(tuple(w[max(0, i - suffix_tree.DEPTH) : i]), w[i])) for i in range(len(w)))
+        assert got[d] == pytest.approx(want, rel=1e-9)
+
+
+def test_states_sum_to_one(spark):
+    """The distribution after any context, with the rest of the mass on an unknown word."""
+    rows = [x for _, x in sentences(60)]
+    predict, states, words, _ = plain_tree(rows)
+    total = sum(len(tokens(x)) for x in rows)
+    unknown = suffix_tree.A / (total + suffix_tree.A * (len(words) + 1))
+    _, tree, _ = suffix_tree.fit(spark.createDataFrame([(x,) for x in rows], "text string"))
+    assert sum(len(level[0]) for level in tree.levels) == len(states) > 5
+    for path in [*states, ("the", "no"), ("cat", "mat", "big")]:
+        p = sum(predict(path, w) for w in words)
+        rest = 1.0
+        for k in range(len(path)):
+            if path[k:] in states:
+                rest *= states[path[k:]][1]
+        assert p + unknown * rest == pytest.approx(1.0, abs=1e-9)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        _, tree, _ = suffix_tree.fit(docs.select("text"))
+        sizes.append((len(tree.tokens), sum(len(level[2]) for level in tree.levels)))
+    assert sizes[0][0] < sizes[1][0] and sizes[0][1] < sizes[1][1]

@@ -2,18 +2,21 @@
 
 Tokens are lower-cased (A-Z) words and one end per text. The root gives token t the smoothed
 probability (c + A) / (N + A * (V + 1)). A deeper state is a context of one to ``DEPTH`` tokens
-that makes up at least ``P_MIN`` of all training tokens; by that definition a level has at most
-1 / P_MIN states, however large the corpus is, and the tree fits into every task. A context is
-grown only from contexts and followers that are frequent themselves (a longer run cannot be more
-frequent than its parts), its counts are taken over the whole corpus, and it is *retained only if
-its followers diverge* from what its suffix predicts: the divergence, weighted by the followers
-kept, must reach ``DIVERGENCE``. Followers with at least ``P_NEXT`` of all tokens are kept with
+with at least ``CONTEXT`` * N ** (2/3) occurrences (and ``LEAST``). A context is grown only from
+contexts and followers that are frequent themselves (a longer run cannot be more frequent than
+its parts), its counts are taken over the whole corpus, and it is *retained only if its followers
+diverge* from what its suffix predicts: the divergence, weighted by the followers kept, must
+reach ``DIVERGENCE``. Followers with at least ``FOLLOWER`` * N ** (2/3) occurrences are kept with
 ``DISCOUNT`` less each; all other tokens share the rest as the suffix state predicts them, so
 every state sums to one. A text is scored with the longest suffix state at each token.
 
+The bounds are one law for every size. The tree grows with the corpus, as its third root: a level
+has at most N ** (1/3) / FOLLOWER followers (5.4 million, 86 MB, for 10 ** 13 tokens), which is what
+each task holds. Contexts and followers are counted together, by one grouped count a level.
+
 So the score of a text is its root score plus adjustments that depend on frequent tokens alone.
-Frequent tokens are counted in place; rare ones, each a small part of the corpus by definition,
-meet their counts in a join by 64-bit hash of the word.
+Frequent tokens are counted in place; rare ones meet their counts in a join by 64-bit hash of the
+word.
 
 Null texts are empty: just the end. Rows with equal id and text are scored alike; null ids are
 kept and count as training texts (the checksum of nothing decides as for the text "null").
@@ -21,7 +24,6 @@ kept and count as training texts (the checksum of nothing decides as for the tex
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,11 @@ from tripline.llm.tokens import Words, chunks, mix, run_hashes, words_of
 from tripline.session import materialize
 
 A = 0.1
-DEPTH = 2
-P_MIN = 5e-5
-P_NEXT = 1e-5
+DEPTH = 3
+CONTEXT = 0.008
+FOLLOWER = 0.004
+#: Fewer occurrences than this say nothing of what follows.
+LEAST = 5
 DISCOUNT = 0.75
 DIVERGENCE = 0.01
 #: Distinct keys a task gathers before it passes its counts on.
@@ -65,31 +69,39 @@ def _positions(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class _Gathered:
-    """Counts by key, passed on when many keys have come together."""
+    """Counts by key (one column or several), passed on when many keys have come together."""
 
-    def __init__(self):
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.size = names, [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys, return_counts=True)
-        both, inverse = np.unique(np.append(self.keys, new), return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, inverse, np.append(self.counts, n))
-        self.keys, self.counts = both, total
+    def add(self, *keys: np.ndarray) -> None:
+        self.parts.append((*_counted(keys, np.ones(len(keys[0]), np.int64)),))
+        self.size += len(self.parts[-1][0])
 
     def batch(self) -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], names=["key", "n"])
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return out
+        columns = [np.concatenate(c) for c in zip(*self.parts)] if self.parts else [np.zeros(0, np.uint64)] * len(self.names) + [np.zeros(0, np.int64)]
+        *keys, n = _counted(columns[:-1], columns[-1])
+        self.parts, self.size = [], 0
+        return pa.record_batch([*(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], names=[*self.names, "n"])
+
 
+def _counted(keys, n: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys and their summed counts."""
+    order = np.lexsort(keys)
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [*(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n]
 
-def _counting(keys_of):
+
+def _counting(keys_of, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered()
+        gathered = _Gathered(names)
         for batch in batches:
             for part in chunks(batch, "text", 8 << 20):
-                gathered.add(keys_of(*_with_ends(words_of(part.column("text"), lower=True))))
-                if len(gathered.keys) > GATHER:
+                gathered.add(*keys_of(*_with_ends(words_of(part.column("text"), lower=True))))
+                if gathered.size > GATHER:
                     yield gathered.batch()
         yield gathered.batch()
 
@@ -114,69 +126,62 @@ def run_key(tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return run_hashes(tokens, n)[starts] if n > 1 else tokens[starts]
 
 
-def _counts(df: DataFrame, keys_of) -> DataFrame:
-    return df.mapInArrow(_counting(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def path_keys(paths: np.ndarray) -> np.ndarray:
+    """The run key of each row of tokens."""
+    return run_hashes(paths.ravel(), paths.shape[1])[:: paths.shape[1]] if paths.shape[1] > 1 else paths[:, 0].copy()
+
 
+def _counts(df: DataFrame, keys_of, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    names = list(names)
+    emitted = df.mapInArrow(_counting(keys_of, names), ", ".join(f"{n} long" for n in names) + ", n long")
+    return emitted.groupBy(*names).agg(F.sum("n").alias("n"))
 
-def _sorted(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Collected (key, n) rows, bounded by the caller, as sorted arrays."""
-    keys = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in rows], dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+
+def _taken(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a table bounded by the caller; keys are unsigned."""
+    table = df.select(*names).toPandas()
+    return [table[n].to_numpy(np.int64).view(np.uint64 if n != "n" else np.int64) for n in names]
 
 
 class Tree:
-    """States by context key: followers with probabilities, and what the others share."""
+    """The root over frequent tokens, and the retained states of each length: sorted context keys
+    with the rest's share, sorted run keys with the follower's log probability less the root's."""
 
-    def __init__(self, total: int, distinct: int, tokens: np.ndarray, counts: np.ndarray):
-        self.tokens, self.total = tokens, total
+    def __init__(self, total: int, distinct: int):
+        self.total = total
         self.smooth = total + A * (distinct + 1)
-        self.root = np.log10((counts + A) / self.smooth) if len(counts) else np.zeros(0)
-        self.states: list[dict] = [{} for _ in range(DEPTH)]
-
-    def _predict(self, context: tuple[int, ...], token: int) -> float:
-        """log10 of the probability of a frequent token at the longest suffix state."""
-        if not context:
-            return float(self.root[token])
-        state = self.states[len(context) - 1].get(context)
-        if state is None:
-            return self._predict(context[1:], token)
-        if token in state["next"]:
-            return state["next"][token]
-        return state["rest"] + self._predict(context[1:], token)
-
-    def grow(self, depth: int, followers: dict[tuple, dict[int, int]], sizes: dict[tuple, int]) -> None:
-        """Adds the retained contexts of one length. Tokens are positions in ``tokens``."""
-        for context, counts in followers.items():
-            size = sizes[context]
-            kept = {t: (c - DISCOUNT) / size for t, c in counts.items() if c > DISCOUNT}
-            below = {t: 10 ** self._predict(context[1:], t) for t in kept}
-            mass, suffix = sum(kept.values()), sum(below.values())
-            if not kept or mass >= 1 or suffix >= 1:
-                continue
-            diverges = sum(p * np.log(p / below[t]) for t, p in kept.items()) + (1 - mass) * np.log((1 - mass) / (1 - suffix))
-            if diverges >= DIVERGENCE:
-                self.states[depth - 1][context] = {
-                    "next": {t: float(np.log10(p)) for t, p in kept.items()}, "rest": float(np.log10((1 - mass) / (1 - suffix)))
-                }
-
-    def compiled(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: sorted context keys with the rest's share, sorted run keys with the
-        follower's log probability less the root's."""
-        out = []
-        for depth, states in enumerate(self.states, 1):
-            keys, rests, runs, gains = [], [], [], []
-            for context, state in states.items():
-                path = self.tokens[list(context)]
-                keys.append(run_key(path, np.array([0]), depth)[0])
-                rests.append(state["rest"])
-                for t, p in state["next"].items():
-                    runs.append(run_key(np.append(path, self.tokens[t]), np.array([0]), depth + 1)[0])
-                    gains.append(p - self.root[t])
-            k, r = np.argsort(np.array(keys, np.uint64)), np.argsort(np.array(runs, np.uint64))
-            out.append((np.array(keys, np.uint64)[k], np.array(rests, float)[k], np.array(runs, np.uint64)[r], np.array(gains, float)[r]))
-        return out
+        self.follower = max(LEAST, FOLLOWER * total ** (2 / 3))
+        self.context = max(LEAST, CONTEXT * total ** (2 / 3))
+        self.tokens, self.root = np.zeros(0, np.uint64), np.zeros(0)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def set_root(self, tokens: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(tokens)
+        self.tokens, self.root = tokens[order], np.log10((counts[order] + A) / self.smooth)
+
+    def predict(self, runs: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the last token of each row after the others."""
+        width = runs.shape[1]
+        gain = adjustments(runs.ravel(), np.arange(len(runs) + 1) * width, self.levels)[width - 1 :: width]
+        return self.root[_positions(self.tokens, runs[:, -1])] + gain
+
+    def grow(self, paths: np.ndarray, sizes: np.ndarray, of: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the level of the contexts ``paths`` (rows of tokens), which occur ``sizes`` times;
+        the context ``of`` is followed by ``tokens`` ``counts`` times."""
+        p = (counts - DISCOUNT) / sizes[of]
+        runs = np.column_stack([paths[of], tokens])
+        below = 10 ** self.predict(runs[:, 1:])
+        total = lambda x: np.bincount(of, weights=x, minlength=len(paths))
+        mass, suffix = total(p), total(below)
+        kept = (np.bincount(of, minlength=len(paths)) > 0) & (mass < 1) & (suffix < 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = (1 - mass) / (1 - suffix)
+            kept &= total(p * np.log(p / below)) + (1 - mass) * np.log(rest) >= DIVERGENCE
+        mine = kept[of]
+        keys, run_keys = path_keys(paths[kept]), path_keys(runs[mine])
+        gains = np.log10(p[mine]) - self.root[_positions(self.tokens, tokens[mine])]
+        k, r = np.argsort(keys), np.argsort(run_keys)
+        self.levels.append((keys[k], np.log10(rest[kept])[k], run_keys[r], gains[r]))
 
 
 def adjustments(tokens: np.ndarray, first: np.ndarray, compiled) -> np.ndarray:
@@ -200,55 +205,38 @@ def adjustments(tokens: np.ndarray, first: np.ndarray, compiled) -> np.ndarray:
 
 def fit(training: DataFrame) -> tuple[DataFrame, Tree, int]:
     """``training``: text. Returns token counts (key, n), the tree, and the number of tokens."""
-    counts = materialize(_counts(training, lambda tokens, first: tokens), "token-counts")
+    counts = materialize(_counts(training, lambda tokens, first: (tokens,)), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # By definition at most 1 / P_NEXT rows.
-    tokens, n = _sorted(counts.where(F.col("n") >= F.lit(P_NEXT * total)).collect())
-    tree = Tree(total, distinct, tokens, n)
-    common = tokens[n >= P_MIN * total]
-    contexts: dict[int, tuple[int, ...]] = {int(k): (int(_positions(tokens, np.array([k]))[0]),) for k in common}
-    sizes = {c: int(n[c[0]]) for c in contexts.values()}
+    tree = Tree(total, distinct)
+    tokens, n = _taken(counts.where(F.col("n") >= F.lit(float(tree.follower))), "key", "n")
+    tree.set_root(tokens, n)
+    often = n >= tree.context
+    paths, sizes = tokens[often][:, None], n[often]
     for depth in range(1, DEPTH + 1):
-        known = np.sort(np.array(list(contexts), dtype=np.uint64))
-        if not len(known):
+        if not len(paths):
             break
-
-        def keys_of(t, first, depth=depth, known=known, followers=tokens):
-            """Frequent contexts of this length with a frequent follower, packed as one key."""
+        order = np.argsort(path_keys(paths))
+        paths, sizes = paths[order], sizes[order]
+        keys = path_keys(paths)
+        shared = training.sparkSession.sparkContext.broadcast((keys, tree.tokens))
+
+        def keys_of(t, first, depth=depth, shared=shared):
+            """Frequent contexts of this length, each with a frequent follower."""
+            known, followers = shared.value
             starts = _runs(t, first, depth + 1, followers)
-            inside = _positions(known, run_key(t, starts, depth)) >= 0
-            return run_key(t, starts[inside], depth + 1)
-
-        # At most 1 / P_NEXT runs are that frequent.
-        runs, c = _sorted(_counts(training, keys_of).where(F.col("n") >= F.lit(max(1.0, P_NEXT * total))).collect())
-        followers: dict[tuple, dict[int, int]] = defaultdict(dict)
-        deeper: dict[int, tuple[int, ...]] = {}
-        deeper_sizes = {}
-        # Which context and follower a key stands for: all pairs of frequent parts are tried.
-        for key, context in contexts.items():
-            path = tokens[list(context)]
-            tried = _extended(path, tokens)
-            hit = _positions(runs, tried)
-            for t in np.flatnonzero(hit >= 0).tolist():
-                size = int(c[hit[t]])
-                followers[context][t] = size
-                if size >= P_MIN * total:
-                    deeper[int(tried[t])] = (*context, t)
-                    deeper_sizes[(*context, t)] = size
-        tree.grow(depth, followers, sizes)
-        contexts, sizes = deeper, deeper_sizes
+            context = run_key(t, starts, depth)
+            inside = _positions(known, context) >= 0
+            return context[inside], t[starts[inside] + depth]
+
+        pairs = _counts(training, keys_of, ("context", "token")).where(F.col("n") >= F.lit(float(tree.follower)))
+        context, token, n = _taken(pairs, "context", "token", "n")
+        of = _positions(keys, context)
+        tree.grow(paths, sizes, of, token, n)
+        often = n >= tree.context
+        paths, sizes = np.column_stack([paths[of[often]], token[often]]), n[often]
     return counts, tree, total
 
 
-def _extended(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Keys of the runs made of ``path`` and each of ``tokens``."""
-    n = len(path) + 1
-    rows = np.empty((len(tokens), n), dtype=np.uint64)
-    rows[:, :-1] = path
-    rows[:, -1] = tokens
-    return run_hashes(rows.ravel(), n)[::n]
-
-
 def _own_scores(shared):
     """Per text: tokens, and the score of frequent tokens under root and tree."""
 
@@ -301,7 +289,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         F.xxhash64(text).alias("text_hash"), text.alias("text"),
     )
     counts, tree, total = fit(given.where("not held_out").select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((tree.tokens, tree.root, tree.compiled()))
+    shared = docs.sparkSession.sparkContext.broadcast((tree.tokens, tree.root, tree.levels))
     kind = given.schema["doc_id"].dataType.simpleString()
     own = given.mapInArrow(
         _own_scores(shared),
@@ -309,7 +297,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
     keyed = given.select(F.xxhash64("doc_id", "text_hash").alias("row_key"), "text")
     rare = keyed.mapInArrow(_rare_rows(shared), "key long, row_key long, times int")
-    found = rare.join(counts.where(F.col("n") < F.lit(P_NEXT * total)), "key", "left")
+    found = rare.join(counts.where(F.col("n") < F.lit(float(tree.follower))), "key", "left")
     worth = F.log10((F.coalesce("n", F.lit(0)) + A) / F.lit(float(tree.smooth)))
     sums = found.groupBy("row_key").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
