@@ -107,17 +107,27 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
     media = taken_apart(media)
     target = F.lower(F.coalesce(F.concat("_original", "_ext"), "name"))
     shortest = F.greatest(F.lit(_MIN_PREFIX), F.floor(F.length("_target") / 2).cast("int"))
+    # Names meet the prefixes of their folder by their first characters, which all of them have, so
+    # a large folder spreads over its names. A name is cut only at lengths that one of those has.
+    lead = [*FOLDER, "_lead"]
+    cuts = (
+        implied.withColumn("_lead", F.left("_prefix", F.lit(_MIN_PREFIX)))
+        .groupBy(*lead)
+        .agg(F.collect_set(F.length("_prefix")).alias("_lens"))
+    )
     prefixes = (
         media.select(*FILE, "dir", target.alias("_target"))
         .where(F.length("_target") >= _MIN_PREFIX)
-        .withColumn("_len", F.explode(F.sequence(shortest, F.length("_target"))))
+        .withColumn("_lead", F.left("_target", F.lit(_MIN_PREFIX)))
+        .join(cuts, lead)
+        .withColumn("_len", F.explode("_lens"))
+        .where(F.col("_len").between(shortest, F.length("_target")))
         .withColumn("_prefix", F.left("_target", F.col("_len")))
+        .drop("_lead", "_lens")
     )
     pairs = prefixes.join(implied, [*FOLDER, "_prefix"])
-    # How many files start with a prefix: only prefixes in question. They meet the files by
-    # their first characters, which all of them have, so a large folder spreads over its names.
+    # How many files start with a prefix: only prefixes in question, met in the same way.
     asked = pairs.select(*FOLDER, "_prefix").distinct()
-    lead = [*FOLDER, "_lead"]
     lengths = (
         asked.withColumn("_lead", F.left("_prefix", F.lit(_MIN_PREFIX)))
         .groupBy(*lead)
