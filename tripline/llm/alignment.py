@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ DIVISION = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Characters of unchanged class.
 _SETTLED = re.compile("[\x00-ȟ]*")
 #: Text bytes encoded at a time; one longer text is still taken whole.
-_PART = 1 << 18
+_PART = 1 << 16
 #: Pairs that may be broadcast, about 40 bytes each.
 LOOKUP = 4_000_000
 #: B ids are below this, so that a pair is one int.
@@ -93,12 +94,16 @@ class Vocabularies:
             self.b.append(bytes([int(piece[3:5], 16)]) if self._pieces.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_sizes = np.array([len(t) for t in self.a], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b], dtype=np.int64)
-        self.a_names, self.b_names = [str(i) for i in range(len(self.a))], [str(i) for i in range(len(self.b))]
+        #: The name of each id as it stands inside and at the end of its slice of a group.
+        self.names = np.array([f"{i}{c}" for i in range(len(self.a)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b)) for c in ",;"], dtype="S")
 
-    def encode_a(self, text: str) -> list[int]:
+    def encode_a(self, text: str) -> np.ndarray:
         if self._fast is not None and _SETTLED.fullmatch(text):
-            return self._fast.encode_ordinary(text)
-        return self._full.encode(text, add_special_tokens=False).ids
+            return self._fast.encode_to_numpy(text)
+        return np.array(self._full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def gives_back(self, a: np.ndarray, whole: bytes) -> bool:
+        return b"".join(map(self.a.__getitem__, a.tolist())) == whole
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self._pieces.encode(texts, num_threads=1)
@@ -115,53 +120,64 @@ def common_cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[i
     a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
     b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
     common = sorted(a_at.keys() & b_at.keys())
-    return [a_at[e] for e in common], [b_at[e] for e in common]
-
-
-def _group_names(a: list[str], b: list[str], a_cuts: list[int], b_cuts: list[int]) -> str:
-    out, i, j = [], 0, 0
-    for x, y in zip(a_cuts, b_cuts):
-        if x - i == 1 and y - j == 1:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-        i, j = x, y
-    return ";".join(out)
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
 _NUMBERS = "n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, times array<int>"
 _LISTS = "a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
 
 
+def _encoded(v: Vocabularies, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """The ids of both sides of all texts, and where each text's ids begin."""
+    a, b = [], []
+    for text, pieces in zip(texts, v.encode_b(texts)):
+        whole = b" " + text.encode()
+        ids = v.encode_a(" " + text) if text and b"".join(map(v.b.__getitem__, pieces)) == whole else []
+        fits = len(ids) and int(v.a_sizes[ids].sum()) == len(whole) and v.gives_back(ids, whole)
+        a.append(ids if fits else [])
+        b.append(pieces if fits else [])
+    begins = [np.cumsum([0, *map(len, x)]) for x in (a, b)]
+    return np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(begins[1][-1])), *begins
+
+
+def _digests(v: Vocabularies, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, begins: np.ndarray) -> list[str]:
+    """Hashes of ``a1,a2|b1;a3|b2,b3`` (the slices of both id lists between cuts) of each text."""
+    a_sizes, b_sizes = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+    # Every id's place among all, and after it the mark that ends its slice or goes on with it.
+    out = np.empty(len(a) + len(b), dtype=np.int64)
+    out[np.arange(len(a)) + np.repeat(b_cuts - b_sizes, a_sizes)] = a * 2
+    out[np.arange(len(b)) + np.repeat(a_cuts, b_sizes)] = len(v.a) * 2 + b * 2
+    out[a_cuts + b_cuts - b_sizes - 1] += 1
+    out[a_cuts + b_cuts - 1] += 1
+    names, width = v.names[out].tobytes(), v.names.itemsize
+    parts = [names[i * width : j * width].translate(None, b"\0")[:-1] for i, j in zip(begins[:-1].tolist(), begins[1:].tolist())]
+    return [hashlib.sha256(p).hexdigest() if p else "" for p in parts]
+
+
+def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def _aligned(folder: str, lists: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(folder)
-        a_bytes, b_bytes, a_name, b_name = (x.__getitem__ for x in (v.a, v.b, v.a_names, v.b_names))
         for batch in batches:
             for part in chunks(batch, "text", _PART):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = []
-                for text, b in zip(texts, v.encode_b(texts)):
-                    a = v.encode_a(" " + text) if text else []
-                    whole = b" " + text.encode()
-                    if not text or b"".join(map(a_bytes, a)) != whole or b"".join(map(b_bytes, b)) != whole:
-                        rows.append(([], [], [], [], "", [], []))
-                        continue
-                    a_ids, b_ids = np.array(a), np.array(b)
-                    x, y = common_cuts(np.cumsum(v.a_sizes[a_ids]).tolist(), np.cumsum(v.b_sizes[b_ids]).tolist())
-                    names = _group_names(list(map(a_name, a)), list(map(b_name, b)), x, y)
-                    links = a_ids[np.array(x) - 1] * _WIDTH + b_ids[np.array(y) - 1]
-                    pairs, times = np.unique(links, return_counts=True)
-                    digest = hashlib.sha256(names.encode()).hexdigest()
-                    rows.append((a_ids, b_ids, x, y, digest, pairs.astype(np.int32), times.astype(np.int32)))
-                a, b, x, y, digest, pairs, times = zip(*rows)
-                long = lambda values: pa.array([len(z) for z in values], pa.int64())
-                ints = lambda values: pa.array(values, pa.list_(pa.int32()))
+                # The texts of a part stand one behind the other; where one ends, both sides end.
+                a, b, a_begins, b_begins = _encoded(v, [t or "" for t in part.column("text").to_pylist()])
+                x, y = common_cuts(np.cumsum(v.a_sizes[a]).tolist(), np.cumsum(v.b_sizes[b]).tolist())
+                x, y = np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
+                row = np.searchsorted(a_begins, x - 1, side="right") - 1
+                # A row and a pair in one number; sorted, those of a row are next to each other.
+                found, times = np.unique(row << 31 | a[x - 1] * _WIDTH + b[y - 1], return_counts=True)
+                n, sizes = (np.bincount(r, minlength=part.num_rows) for r in (row, found >> 31))
                 columns = {"row": part.column("row"), "doc_id": part.column("doc_id")}
-                columns |= {"n_a": long(a), "n_b": long(b), "n_groups": long(x), "groups_sha256": pa.array(digest, pa.string())}
-                columns |= {"pairs": ints(pairs), "times": ints(times)}
+                columns |= {"n_a": pa.array(np.diff(a_begins)), "n_b": pa.array(np.diff(b_begins)), "n_groups": pa.array(n)}
+                columns["groups_sha256"] = pa.array(_digests(v, a, b, x, y, a_begins + b_begins), pa.string())
+                columns |= {"pairs": _list_array(found & (1 << 31) - 1, sizes), "times": _list_array(times, sizes)}
                 if lists:
-                    columns |= {"a_ids": ints(a), "b_ids": ints(b), "a_cuts": ints(x), "b_cuts": ints(y)}
+                    columns |= {"a_ids": _list_array(a, np.diff(a_begins)), "b_ids": _list_array(b, np.diff(b_begins))}
+                    columns |= {"a_cuts": _list_array(x - a_begins[row], n), "b_cuts": _list_array(y - b_begins[row], n)}
                 yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
