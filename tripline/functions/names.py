@@ -37,6 +37,7 @@ SUPPLEMENT = ".supplemental-metadata"
 SUPPLEMENT_STEM = ".supplemental"
 YEAR_FOLDER = r"Photos from (\d{4})$"
 
+# Fixed value: a counter in parentheses at the end of a stem.
 _COUNTER = r"^(?s)(.*?)(?:\((\d+)\))?$"
 _EDITED = "(?iu)(?:" + "|".join(re.escape(m) for m in EDITED_MARKERS) + ")$"
 

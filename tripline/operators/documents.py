@@ -130,6 +130,10 @@ def timeline_lines(
     )
 
 
+# Fixed value: how a stay is listed for reading.
+STAY_LINE = "  %2d. %-24s %-28s (%d photos)"
+
+
 def stay_listing(stays: DataFrame, by: Sequence[str] = ("track_id",)) -> DataFrame:
     """Numbered stays with the days collapsed to one where they are equal."""
     numbered = number_rows(stays, by, ["first_us", "first_id"])
@@ -141,7 +145,7 @@ def stay_listing(stays: DataFrame, by: Sequence[str] = ("track_id",)) -> DataFra
         days.alias("days"),
         "label",
         "photo_count",
-        F.format_string("  %2d. %-24s %-28s (%d photos)", "position", days, "label", "photo_count")
+        F.format_string(STAY_LINE, "position", days, "label", "photo_count")
         .alias("line"),
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from tripline import sample
+from tripline import sample, sample_files
 from tripline.operators import catalog
 from tripline.queries import base_sql as b
+from tripline.queries import files_sql
 
 QUERIES, SQL = {}, {}
 
@@ -48,12 +51,19 @@ def scan_place(spark, sf_dir):
 SQL["scan_place"] = f"WITH {b.PLACE} SELECT * FROM place"
 
 
+#: The photo that is looked up by the key of its address.
+LOOKED_UP = "https://photos.google.com/photo/P10"
+
+
 @_query
 def media_by_key(spark, sf_dir):
-    return _media_columns(catalog.media_by_key(sample.media(spark, sf_dir), 7, "media_id"))
+    key = hashlib.sha1(f"url\x1f{LOOKED_UP}".encode()).hexdigest()
+    found = catalog.media_by_key(sample_files.earlier_catalog(spark, sf_dir), key)
+    return found.select("track_id", "dedupe_key", "url", "file_name", "source_path", "latitude", "longitude", "location_source")
 
 
-SQL["media_by_key"] = f"WITH {b.MEDIA} SELECT {MEDIA_COLUMNS} FROM media WHERE media_id = 7"
+SQL["media_by_key"] = f"""WITH {files_sql.RESOLVE} SELECT track_id, dedupe_key, url, file_name, source_path, latitude, longitude, location_source
+FROM earlier WHERE url = '{LOOKED_UP}'"""
 
 
 @_query
@@ -75,11 +85,13 @@ WHERE latitude IS NOT NULL AND taken_at IS NOT NULL ORDER BY media.taken_at, med
 
 @_query
 def located_items_of_year(spark, sf_dir):
-    return _media_columns(catalog.located_items(sample.media(spark, sf_dir), year=2024))
+    """Every second day is moved back by twenty days, some of them into the year before."""
+    moved = F.when(F.col("media_id") % 2 == 0, F.date_sub("local_date", 20)).otherwise(F.col("local_date"))
+    return _media_columns(catalog.located_items(sample.media(spark, sf_dir).withColumn("local_date", moved), year=2024))
 
 
-SQL["located_items_of_year"] = f"""WITH {b.MEDIA} SELECT {MEDIA_COLUMNS} FROM media
-WHERE latitude IS NOT NULL AND year(media.local_date) = 2024"""
+SQL["located_items_of_year"] = f"""WITH {b.MEDIA}, moved AS (SELECT * REPLACE (CASE WHEN media_id % 2 = 0 THEN local_date - 20 ELSE local_date END AS local_date) FROM media)
+SELECT {MEDIA_COLUMNS} FROM moved WHERE latitude IS NOT NULL AND year(local_date) = 2024"""
 
 
 @_query

@@ -131,9 +131,7 @@ def export_gpx(spark, sf_dir):
 
 SQL["export_gpx"] = f"""WITH {b.MEDIA}, items AS (SELECT CAST(track_id AS INTEGER) AS track_id, * EXCLUDE (track_id) FROM media WHERE latitude IS NOT NULL)
 SELECT track_id, '    <trkpt lat="' || latitude || '" lon="' || longitude || '"><time>' || strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') || '</time></trkpt>' AS line FROM items
-UNION ALL SELECT DISTINCT track_id, unnest(['<?xml version="1.0" encoding="UTF-8"?>',
-  '<gpx version="1.1" creator="tripline" xmlns="http://www.topografix.com/GPX/1/1">',
-  '  <trk><name>tripline photo locations</name><trkseg>', '  </trkseg></trk>', '</gpx>']) FROM items"""
+UNION ALL SELECT DISTINCT track_id, unnest({[*export.GPX_HEAD.split(chr(10)), *export.GPX_FOOT.split(chr(10))]}) FROM items"""
 
 _FEATURE = """'{"type":"Feature","geometry":{"type":"Point","coordinates":[' || longitude || ',' || latitude
   || ']},"properties":{"time":"' || strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') || '","id":' || media_id || ',"name":"' || file_name || '"}}'"""

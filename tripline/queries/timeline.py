@@ -288,7 +288,7 @@ SQL["stay_listing"] = f"""{COUNTRY_SMOOTH},
 listed AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY f, fi) AS position,
   CASE WHEN fd = ld THEN CAST(fd AS VARCHAR) ELSE fd || '..' || ld END AS days, key AS label,
   CAST(n AS BIGINT) AS photo_count FROM smooth)
-SELECT *, printf('  %2d. %-24s %-28s (%d photos)', position, days, label, photo_count) AS line FROM listed"""
+SELECT *, printf('{documents.STAY_LINE}', position, days, label, photo_count) AS line FROM listed"""
 
 
 @_query

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tripline.operators.documents import LINE_ORDER
 from tripline.operators.ordered import mark_first
 
+TRACK_TITLE = "Places of one traveller"
 # Head and foot of the GPX format.
 GPX_HEAD = (
     '<?xml version="1.0" encoding="UTF-8"?>\n'
     '<gpx version="1.1" creator="tripline" xmlns="http://www.topografix.com/GPX/1/1">\n'
-    "  <trk><name>tripline photo locations</name><trkseg>"
+    f"  <trk><name>{TRACK_TITLE}</name><trkseg>"
 )
 GPX_FOOT = "  </trkseg></trk>\n</gpx>"
 
