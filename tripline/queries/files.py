@@ -118,9 +118,11 @@ SQL["write_timeline"] = f"""{t.DOCUMENT_SQL} SELECT CAST(track_id AS INTEGER) AS
 
 
 def _read_lines(spark, lines):
+    """Written to a container and read back, one row per line of text."""
     path = scratch_path(spark, "lines")
-    export.write_lines(lines, path)
-    return spark.read.text(path).select("track_id", F.col("value").alias("line"))
+    export.write_container(lines, path)
+    rows = export.read_container(spark, path)
+    return rows.select("track_id", F.explode(F.split("line", "\n")).alias("line"))
 
 
 @_query
@@ -129,7 +131,7 @@ def export_gpx(spark, sf_dir):
     return _read_lines(spark, export.gpx_lines(items))
 
 
-SQL["export_gpx"] = f"""WITH {b.MEDIA}, items AS (SELECT CAST(track_id AS INTEGER) AS track_id, * EXCLUDE (track_id) FROM media WHERE latitude IS NOT NULL)
+SQL["export_gpx"] = f"""WITH {b.MEDIA}, items AS (SELECT * FROM media WHERE latitude IS NOT NULL)
 SELECT track_id, '    <trkpt lat="' || latitude || '" lon="' || longitude || '"><time>' || strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') || '</time></trkpt>' AS line FROM items
 UNION ALL SELECT DISTINCT track_id, unnest({[*export.GPX_HEAD.split(chr(10)), *export.GPX_FOOT.split(chr(10))]}) FROM items"""
 
@@ -143,7 +145,7 @@ def export_geojson(spark, sf_dir):
     return _read_lines(spark, export.geojson_lines(items))
 
 
-SQL["export_geojson"] = f"""WITH {b.MEDIA}, items AS (SELECT CAST(track_id AS INTEGER) AS track_id, * EXCLUDE (track_id),
+SQL["export_geojson"] = f"""WITH {b.MEDIA}, items AS (SELECT *,
   row_number() OVER (PARTITION BY track_id ORDER BY taken_at, media_id) AS rn FROM media WHERE latitude IS NOT NULL)
 SELECT track_id, CASE WHEN rn = 1 THEN '' ELSE ',' END || {_FEATURE} AS line FROM items
 UNION ALL SELECT DISTINCT track_id, unnest(['{{"type":"FeatureCollection","features":[', ']}}']) FROM items"""

@@ -2,14 +2,15 @@
 
 A file format with one head, many items and one foot is kept as ordered lines. Writing cuts
 the order into range partitions, so a large track becomes several part files, which give the
-document when put together in name order.
+document when put together in name order. Many tracks go into a container, from which one is
+extracted on demand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.operators.documents import LINE_ORDER
@@ -24,6 +25,9 @@ GPX_HEAD = (
 )
 GPX_FOOT = "  </trkseg></trk>\n</gpx>"
 
+#: Folders of a container.
+CONTAINER_BUCKETS = 64
+
 TIMELINE_ID = r"^[a-z0-9][a-z0-9_-]*$"
 
 
@@ -125,6 +129,35 @@ def write_lines(lines: DataFrame, path: str, by: str = "track_id") -> None:
     )
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_container(lines: DataFrame, path: str, by: str = "track_id", buckets: int = CONTAINER_BUCKETS) -> None:
+    """Ordered lines of any number of tracks in ``buckets`` folders: no more files than buckets and
+    write tasks together, however many tracks there are, and a hot track still lies in several.
+    Rows keep what orders them; sorted as they are, a reader skips to the row groups of a track."""
+    order = [F.col(c).asc_nulls_first() for c in LINE_ORDER]
+    dealt = lines.select(by, *LINE_ORDER, "line").withColumn("bucket", _bucket(F.col(by), buckets))
+    (
+        dealt.repartitionByRange("bucket", by, *order)
+        .sortWithinPartitions("bucket", by, *order)
+        .write.partitionBy("bucket")
+        .parquet(path)
+    )
+
+
+def read_container(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a container."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def extract(spark: SparkSession, path: str, key, by: str = "track_id", buckets: int = CONTAINER_BUCKETS) -> DataFrame:
+    """The ordered lines of one track or document: one folder is listed, other row groups are skipped."""
+    mine = spark.read.parquet(path).where((F.col("bucket") == _bucket(F.lit(key), buckets)) & (F.col(by) == F.lit(key)))
+    return mine.orderBy(*[F.col(c).asc_nulls_first() for c in LINE_ORDER]).select("line")
+
+
 def write_timelines(lines: DataFrame, path: str, by: str = "timeline_id") -> None:
     """Persist documents; ids that cannot be names are refused."""
     write_lines(check_ids(lines, by), path, by)
