@@ -3,8 +3,8 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import brute
-import pytest
 from pyspark.sql import functions as F
+from test_similar import alike, grams
 
 import corpus_pipeline
 from tripline.llm import decontam, stages, toxicity
@@ -17,11 +17,13 @@ def key(r):
 
 
 def plain_components(rows):
-    fp = {key(r): brute.fingerprint(r.text) for r in rows}
-    label = brute.components(sorted(set(fp.values())), lambda a, b: bin(a ^ b).count("1") <= 3)
+    """Groups of rows by the similarity of their five-word sets, all pairs compared."""
+    sets = {key(r): grams(r.text) for r in rows}
+    keys = list(sets)
+    label = brute.components(list(range(len(keys))), lambda i, j: alike(sets[keys[i]], sets[keys[j]]))
     groups = defaultdict(set)
-    for k, f in fp.items():
-        groups[label[f]].add(k)
+    for i, g in label.items():
+        groups[g].add(keys[i])
     return groups
 
 
@@ -83,4 +85,4 @@ def test_registered(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

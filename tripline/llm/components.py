@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not changed:
             break
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out.stage_path = now.stage_path  # for who wants to discard it
+    return out
