@@ -128,8 +128,9 @@ def manifest(
     tops = number_rows(subroots, ["all"], ["group"]).select(
         F.col("all").alias("key"), (F.col("position").cast("long") - 1).alias("position"), "node", "group"
     )
-    total = subroots.groupBy(F.col("all").alias("key")).agg(F.count("*").alias("n"))
-    over = _climb(tops, total)
+    tops = materialize(tops, "merkle-subroots")
+    over = _climb(tops, tops.groupBy("key").agg(F.count("*").alias("n")))
+    discard(tops)
     start = over[-1].select("key", F.array().cast(_NO_PATH).alias("path"), F.col("top").alias("root"))
     above = _descend(over, start).select(F.col("group").alias("key"), "path", F.col("node").alias("subroot"), "root")
     rows = _descend(rounds, above)
