@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -75,3 +78,45 @@ def test_learned_beginnings(spark):
     sample = spark.createDataFrame([(x, 1) for x in bad] + [(x, 0) for x in good], "text string, toxic int")
     x = t.features(pa.array(["zyrxq77 here", "zyrwq77 here"]), t.learn_lexicon(sample), t.Grammar())
     assert x[0][t.OUTCOMES.index("learned")] > 0 and not x[1][: len(t.OUTCOMES)].any()
+
+
+def plain_outcomes(text, learned):
+    """The features by words and loops. ``learned`` tells of a word whether it was learned."""
+    lists = {w: symbol for symbol, words in t.LEXICON.items() for w in words.split()}
+    sums = dict.fromkeys((*t.OUTCOMES, "clauses"), 0.0)
+    for clause in re.split(r"[.,;:!?\n\r\"()]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+        symbols = [lists.get(w, t.LEARNED if learned(w) else t.OTHER) for w in re.findall(r"['a-zA-Z\u0080-\U0010ffff]+", clause)]
+        if not {t.INSULT, t.THREAT, t.LEARNED} & set(symbols):
+            continue
+        sums["clauses"] += 1
+        addressed = t.TARGET in symbols
+        for i, s in enumerate(symbols):
+            weight = {t.INSULT: 1.0, t.LEARNED: 1.0, t.THREAT: t.WITH_INTENT if t.INTENT in symbols[:i] else 1.0}.get(s, 0.0)
+            factor = t.NEGATED if t.NEGATION in symbols[max(0, i - t.NEGATION_SPAN) : i] else 1.0
+            factor *= t.REPORTED if t.REPORT in symbols[:i] else 1.0
+            if factor < 1:
+                sums["damped"] += factor * weight
+            elif s == t.LEARNED:
+                sums["learned"] += weight
+            elif s == t.THREAT:
+                sums["threat"] += weight * addressed
+            elif s == t.INSULT:
+                sums["addressed" if addressed else "unaddressed"] += weight
+    return np.log1p(list(sums.values()))
+
+
+def test_scores_against_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    texts = docs.select("doc_id", "text")
+    lexicon, weights = t.fit(texts, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")))
+    assert lexicon.learned
+
+    @lru_cache(maxsize=None)
+    def learned(word):
+        w = t.words_of(pa.array([word]), lower=True, gaps=t.NOT_LETTERS)
+        return any(len(h := (w.hashes() if n == 0 else w.prefix_hashes([n])[0])) and h[0] in known for n, known in lexicon.learned.items())
+
+    got = {r.doc_id: r.score for r in t.score(docs, labels).collect()}
+    for r in texts.collect():
+        x = plain_outcomes(r.text, learned)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))), rel=1e-9), r.doc_id

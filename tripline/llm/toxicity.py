@@ -12,8 +12,10 @@ clause's symbols side by side (their product, built state by state as it is need
 
 A clause's matched weight falls into one of a few outcomes (addressed, unaddressed, damped,
 threat, learned), the outcomes of a text are its features, and a logistic model fitted on a
-bounded sample of ``FIT_ROWS`` labelled rows (never held-out ones) makes them a score. Isolated
-words never score by themselves: only clauses do, by the outcome of their whole symbol string.
+bounded sample of ``FIT_ROWS`` labelled rows (never held-out ones) makes them a score. A word
+scores by the outcome of its clause: a threat without a target not at all, anything negated or
+reported less. An insult or learned word in a clause without a target has outcomes of its own
+(unaddressed, learned), the weight of which the labels decide.
 
 Null and empty texts have no clause and get the score of a text without matches. Rows are scored
 alone; repeated rows score alike. Of several labels of one id the greater counts; labels without
@@ -65,14 +67,12 @@ WITH_INTENT = 2.0
 FIT_ROWS = 20_000
 #: Beginnings of these many bytes are learned next to whole words.
 PREFIXES = (5, 6, 7, 8, 9)
-#: Candidates from toxic texts that are looked up in clean ones, at most.
-CANDIDATES = 50_000
 LEAST_TOXIC = 5
 LEAST_SHARE = 0.8
 THRESHOLD = 0.3
 OUTCOMES = ("addressed", "unaddressed", "damped", "threat", "learned")
 #: Weights of the features and the bias where there is nothing to learn from.
-DEFAULT = (2.0, 1.5, 0.3, 2.0, 1.0, 1.0, 0.0, -3.0)
+DEFAULT = (2.0, 1.5, 0.3, 2.0, 1.0, 1.0, -3.0)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -175,10 +175,9 @@ def _member(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, lexicon: Lexicon, grammar: Grammar) -> np.ndarray:
-    """One row per text: the damped sums of all outcomes, how many clauses matched, and its size."""
+    """One row per text: the damped sums of all outcomes, and how many clauses matched."""
     w = words_of(texts, lower=True, gaps=NOT_LETTERS)
-    sums = np.zeros((len(texts), len(OUTCOMES) + 2))
-    sums[:, -1] = w.counts
+    sums = np.zeros((len(texts), len(OUTCOMES) + 1))
     symbols = lexicon.read(w)
     if len(symbols):
         rows = w.rows()
@@ -196,43 +195,31 @@ def features(texts: pa.Array, lexicon: Lexicon, grammar: Grammar) -> np.ndarray:
     return np.log1p(sums)
 
 
-def _stem_rows(wanted: np.ndarray | None):
-    """How many texts have each word or beginning; only ``wanted`` ones, if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                w = words_of(part.column("text"), lower=True, gaps=NOT_LETTERS)
-                rows = w.rows().astype(np.uint64)
-                for n, keys in zip((0, *PREFIXES), [w.hashes(), *w.prefix_hashes(list(PREFIXES))]):
-                    ok = keys != 0
-                    if wanted is not None:
-                        ok &= _member(wanted, keys) if len(wanted) else False
-                    pairs = np.unique(np.stack([keys[ok], rows[ok]]), axis=1)
-                    found, count = np.unique(pairs[0], return_counts=True)
-                    columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(found), n, np.int32)), pa.array(count)]
-                    yield pa.record_batch(columns, names=["stem", "length", "n"])
-
-    return run
-
-
-def _stems(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    counted = texts.select("text").mapInArrow(_stem_rows(wanted), "stem long, length int, n long")
-    return counted.groupBy("stem", "length").agg(F.sum("n").alias("n"))
+def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean texts have each word or beginning."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            w = words_of(part.column("text"), lower=True, gaps=NOT_LETTERS)
+            rows, toxic = w.rows().astype(np.uint64), np.asarray(part.column("toxic")) == 1
+            for n, keys in zip((0, *PREFIXES), [w.hashes(), *w.prefix_hashes(list(PREFIXES))]):
+                ok = keys != 0
+                pairs = np.unique(np.stack([keys[ok], rows[ok]]), axis=1)
+                found, first, count = np.unique(pairs[0], return_index=True, return_counts=True)
+                bad = np.add.reduceat(toxic[pairs[1].astype(np.int64)].astype(np.int64), first) if len(first) else count
+                columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(found), n, np.int32)), pa.array(bad), pa.array(count - bad)]
+                yield pa.record_batch(columns, names=["stem", "length", "toxic", "clean"])
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings that mark toxic texts in ``sample`` (text, toxic)."""
-    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
-    # At most CANDIDATES rows come to the driver, from at most FIT_ROWS texts.
-    often = _stems(toxic).where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()
-    wanted = np.unique(np.array([r["stem"] for r in often], dtype=np.int64).view(np.uint64))
-    seen = {r["stem"]: r["n"] for r in _stems(clean, wanted).collect()} if len(wanted) else {}
+    """Words and beginnings that mark toxic texts in ``sample`` (text, toxic): all of them, by one
+    grouped count over at most FIT_ROWS texts."""
+    counted = sample.select("text", "toxic").mapInArrow(_stem_rows, "stem long, length int, toxic long, clean long")
+    sums = counted.groupBy("stem", "length").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # One clean text is taken off: labels are not free of error.
+    share = F.col("toxic") / (F.col("toxic") + F.greatest(F.col("clean") - 1, F.lit(0)))
     learned: dict[int, list[int]] = {}
-    for r in often:
-        # One clean text is taken off: labels are not free of error.
-        if r["n"] / (r["n"] + max(0, seen.get(r["stem"], 0) - 1)) >= LEAST_SHARE:
-            learned.setdefault(r["length"], []).append(r["stem"])
+    for r in sums.where((F.col("toxic") >= LEAST_TOXIC) & (share >= LEAST_SHARE)).collect():
+        learned.setdefault(r["length"], []).append(r["stem"])
     return Lexicon({n: np.array(v, dtype=np.int64).view(np.uint64) for n, v in learned.items()})
 
 
@@ -279,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     lexicon = learn_lexicon(sample)
     shared = spark.sparkContext.broadcast((lexicon, None))
     rows = sample.select("toxic", "text").mapInArrow(_feature_rows(shared), "toxic int, value array<double>").collect()
-    x = np.array([r["value"] for r in rows]).reshape(len(rows), len(OUTCOMES) + 2)
+    x = np.array([r["value"] for r in rows]).reshape(len(rows), len(OUTCOMES) + 1)
     return lexicon, fit_logistic(x, np.array([r["toxic"] for r in rows], dtype=float))
 
 
