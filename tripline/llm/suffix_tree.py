@@ -11,8 +11,8 @@ reach ``DIVERGENCE``. Followers with at least ``FOLLOWER`` * N ** (2/3) occurren
 every state sums to one. A text is scored with the longest suffix state at each token.
 
 The bounds are one law for every size. The tree grows with the corpus, as its third root: a level
-has at most N ** (1/3) / FOLLOWER followers (5.4 million, 86 MB, for 10 ** 13 tokens), which is what
-each task holds. Contexts and followers are counted together, by one grouped count a level.
+has at most N ** (1/3) / FOLLOWER followers (21.5 million, 345 MB, for 10 ** 13 tokens; the given
+tables reach a tenth of that), which is what each task holds. Contexts and followers are counted together, by one grouped count a level.
 
 So the score of a text is its root score plus adjustments that depend on frequent tokens alone.
 Frequent tokens are counted in place; rare ones meet their counts in a join by 64-bit hash of the
@@ -36,12 +36,12 @@ from tripline.session import materialize
 
 A = 0.1
 DEPTH = 3
-CONTEXT = 0.008
-FOLLOWER = 0.004
+CONTEXT = 0.001
+FOLLOWER = 0.001
 #: Fewer occurrences than this say nothing of what follows.
 LEAST = 5
 DISCOUNT = 0.75
-DIVERGENCE = 0.01
+DIVERGENCE = 0.003
 #: Distinct keys a task gathers before it passes its counts on.
 GATHER = 1_000_000
 #: The end token; words hash to it with probability 2 ** -64.
