@@ -192,7 +192,9 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         .where(F.size("fps") > 1)
     )
     groups = small.select("fps").unionByName(finer.select("fps"))
-    return groups.mapInArrow(_stars(radius), "a long, b long").distinct()
+    out = groups.mapInArrow(_stars(radius), "a long, b long").distinct()
+    out.stage_path = shared.stage_path  # for who wants to discard it
+    return out
 
 
 def near_duplicates_by(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
