@@ -165,9 +165,9 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_document_lines(spark: SparkSession, root: str, by: str = "timeline_id") -> DataFrame:
-    """The same of documents written as lines (see ``sinks.export``), by any number of tasks:
-    the head line is parsed, the stay lines are counted."""
-    lines = spark.read.text(source_uri(root))
+    """The same of documents written as lines (``sinks.export.write_timelines``), by any number of
+    tasks: the head line is parsed, the stay lines are counted."""
+    lines = spark.read.parquet(source_uri(root)).select(by, F.col("line").alias("value"))
     is_head = F.col("value").startswith('{"id":')
     head = F.from_json(F.regexp_replace("value", r',"stays":\[$', "}"), _HEADER_DDL)
     found = lines.groupBy(F.col(by).cast("string").alias("id")).agg(
