@@ -35,6 +35,18 @@ def taken_apart(media: DataFrame) -> DataFrame:
     return media if "_core" in media.columns else with_name_parts(media.select(*FILE, "dir", "name"))
 
 
+def cues_of(sidecars: DataFrame) -> DataFrame:
+    """What the tiers ask of ``sidecars``: the title inside, and the counter and the media name that
+    their own name tells. Found once for all tiers."""
+    if "_implied" in sidecars.columns:
+        return sidecars
+    name = F.col("name")
+    return sidecars.select(
+        *FILE, "dir", "name", "raw_title",
+        sidecar_counter(name).alias("_counter"), implied_media_name(name).alias("_implied"),
+    )
+
+
 def _first_hit(hits: DataFrame, rank: Column) -> DataFrame:
     return hits.groupBy(*FILE).agg(F.min_by("sidecar", rank).alias("sidecar"))
 
@@ -61,10 +73,10 @@ def match_title(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     media's counter counts, else the only one, else the first without a counter."""
     title = F.col("raw_title")
     titles = (
-        sidecars.where(title != "")
+        cues_of(sidecars).where(title != "")
         .select(
             *FOLDER,
-            sidecar_counter(F.col("name")).alias("_n"),
+            F.col("_counter").alias("_n"),
             F.col("path").alias("_sidecar"),
             F.explode(F.array_distinct(F.array(F.lower(title), F.lower(stem_of(title))))).alias(
                 "_title"
@@ -99,7 +111,7 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
     name, at least 6 characters and half of it long, and starts exactly one file of the
     folder. The longest counts; two sidecars of that same prefix are refused."""
     implied = (
-        sidecars.select(*FOLDER, implied_media_name(F.col("name")).alias("_prefix"), "path")
+        cues_of(sidecars).select(*FOLDER, F.col("_implied").alias("_prefix"), "path")
         .where(F.length("_prefix") >= _MIN_PREFIX)
         .groupBy(*FOLDER, "_prefix")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_sidecar"))
@@ -110,34 +122,29 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
     # Names meet the prefixes of their folder by their first characters, which all of them have, so
     # a large folder spreads over its names. A name is cut only at lengths that one of those has.
     lead = [*FOLDER, "_lead"]
-    cuts = (
-        implied.withColumn("_lead", F.left("_prefix", F.lit(_MIN_PREFIX)))
-        .groupBy(*lead)
-        .agg(F.collect_set(F.length("_prefix")).alias("_lens"))
-    )
+
+    def lengths_of(prefixes: DataFrame) -> DataFrame:
+        # A plain distinct: no more rows for a lead than names have lengths.
+        first = F.left("_prefix", F.lit(_MIN_PREFIX)).alias("_lead")
+        return prefixes.select(*FOLDER, first, F.length("_prefix").alias("_len")).distinct()
+
+    cuts = lengths_of(implied)
     prefixes = (
         media.select(*FILE, "dir", target.alias("_target"))
         .where(F.length("_target") >= _MIN_PREFIX)
         .withColumn("_lead", F.left("_target", F.lit(_MIN_PREFIX)))
         .join(cuts, lead)
-        .withColumn("_len", F.explode("_lens"))
         .where(F.col("_len").between(shortest, F.length("_target")))
         .withColumn("_prefix", F.left("_target", F.col("_len")))
-        .drop("_lead", "_lens")
+        .drop("_lead")
     )
     pairs = prefixes.join(implied, [*FOLDER, "_prefix"])
     # How many files start with a prefix: only prefixes in question, met in the same way.
     asked = pairs.select(*FOLDER, "_prefix").distinct()
-    lengths = (
-        asked.withColumn("_lead", F.left("_prefix", F.lit(_MIN_PREFIX)))
-        .groupBy(*lead)
-        .agg(F.collect_set(F.length("_prefix")).alias("_lens"))
-    )
     starts = (
         siblings.select(*FOLDER, F.lower("name").alias("_file"))
         .withColumn("_lead", F.left("_file", F.lit(_MIN_PREFIX)))
-        .join(lengths, lead)
-        .withColumn("_len", F.explode("_lens"))
+        .join(lengths_of(asked), lead)
         .where(F.length("_file") >= F.col("_len"))
         .select(*FOLDER, F.left("_file", F.col("_len")).alias("_prefix"))
         .join(asked, [*FOLDER, "_prefix"], "left_semi")
@@ -158,8 +165,10 @@ def match_prefix(media: DataFrame, sidecars: DataFrame, siblings: DataFrame) ->
 
 def match_sidecars(files: DataFrame, sidecars: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
     """Every media file with its sidecar path and tier (NULL for none). ``siblings``: all files of
-    the folders, where ``files`` are only those to be matched. Names are taken apart once. The few files without an exact hit are written once; the later tiers work on them
-    alone."""
+    the folders, where ``files`` are only those to be matched. Names are taken apart once, on both
+    sides, and written, so that documents are not parsed for every tier. The few files without an
+    exact hit are written once; the later tiers work on them alone."""
+    sidecars = materialize(cues_of(sidecars), "cues")
     media = taken_apart(files.where(F.col("kind").isNotNull()))
     media = materialize(media, "names")
     exact = materialize(media.join(match_exact(media, sidecars), FILE, "left"), "exact")

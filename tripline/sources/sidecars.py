@@ -76,35 +76,40 @@ def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
 def parse_sidecars(docs: DataFrame, text: str = "json") -> DataFrame:
     """Add raw_title (of any JSON object), valid, title, description, url, epoch, lat, lng and
     fingerprint. Broken text is not valid and never fails the job."""
-    doc, root, valid = F.col("_doc"), F.col("_root"), F.col("_f.valid")
+    doc, root, valid = F.col("_doc"), F.col("_root"), F.col("_valid")
     title = F.try_variant_get(doc, "$.title", "variant")
-    fields = F.struct(
-        _valid(doc, root).alias("valid"),
-        F.when(F.schema_of_variant(title) == "STRING", _as(title, "string")).alias("raw_title"),
+    # A step for each part: what one step computes is one method of generated code, and the JVM
+    # only interprets a method that is too large.
+    rows = _once(docs, F.try_parse_json(text), "_doc")
+    rows = _once(rows, F.try_variant_get(doc, "$", _SHAPE), "_root")
+    rows = _once(rows, _valid(doc, root), "_valid")
+    raw_title = F.when(F.schema_of_variant(title) == "STRING", _as(title, "string"))
+    texts = F.struct(
+        raw_title.alias("raw_title"),
         _as(root.description, "string").alias("description"),
         _as(root.url, "string").alias("url"),
-        F.coalesce(*[_epoch(root[t]) for t in _TIMES]).alias("epoch"),
-        F.coalesce(*[_coords(root[p]) for p in _PLACES]).alias("at"),
     )
-    rows = _once(docs, F.try_parse_json(text), "_doc")
-    rows = _once(_once(rows, F.try_variant_get(doc, "$", _SHAPE), "_root"), fields, "_f")
+    rows = _once(rows, texts, "_text")
+    rows = _once(rows, F.coalesce(*[_epoch(root[t]) for t in _TIMES]), "_epoch")
+    rows = _once(rows, F.coalesce(*[_coords(root[p]) for p in _PLACES]), "_at")
+    rows = rows.drop("_doc", "_root")
 
     def if_valid(name: str) -> Column:
-        return F.when(valid, F.col(f"_f.{name}"))
+        return F.when(valid, F.col(name))
 
     rows = rows.withColumns(
         {
-            "raw_title": F.col("_f.raw_title"),
+            "raw_title": F.col("_text.raw_title"),
             "valid": valid,
-            "title": if_valid("raw_title"),
-            "description": if_valid("description"),
-            "url": if_valid("url"),
-            "epoch": if_valid("epoch"),
-            "lat": if_valid("at.lat"),
-            "lng": if_valid("at.lng"),
+            "title": if_valid("_text.raw_title"),
+            "description": if_valid("_text.description"),
+            "url": if_valid("_text.url"),
+            "epoch": if_valid("_epoch"),
+            "lat": if_valid("_at.lat"),
+            "lng": if_valid("_at.lng"),
         }
     )
     fingerprint = sidecar_fingerprint(
         valid, F.col("title"), F.col("description"), F.col("lat"), F.col("lng")
     )
-    return rows.withColumn("fingerprint", fingerprint).drop("_doc", "_root", "_f")
+    return rows.withColumn("fingerprint", fingerprint).drop("_valid", "_text", "_epoch", "_at")
