@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripline import sample_files
+from tripline.operators import matching
 from tripline.operators.matching import match_sidecars
 from tripline.queries import ingest
+from tripline.session import tune
+from tripline.sources.files import list_files
 from tripline.sources.sidecars import parse_sidecars
 
 
@@ -44,6 +47,42 @@ def test_matching_does_not_parse_for_each_tier(spark):
     assert "parse_json" not in matches._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_names_of_files_with_an_exact_hit_are_not_written_again(spark, monkeypatch):
+    written = {}
+    materialize = matching.materialize
+
+    def seen(df, label="stage"):
+        written[label] = materialize(df, label)
+        return written[label]
+
+    monkeypatch.setattr(matching, "materialize", seen)
+    names = "track_id long, dir string, name string, path string"
+    files = spark.createDataFrame([(1, "d", "a.jpg", "d/a.jpg", "photo"), (1, "d", "b.jpg", "d/b.jpg", "photo")], names + ", kind string")
+    docs = spark.createDataFrame([(1, "d", "a.jpg.json", "d/a.jpg.json", "{}"), (1, "d", "x.json", "d/x.json", '{"title":"b.jpg"}')], names + ", json string")
+    matches = match_sidecars(files, parse_sidecars(docs))
+    assert {r.path: (r.name, r._core, r.sidecar) for r in written["exact"].collect()} == {
+        "d/a.jpg": (None, None, "d/a.jpg.json"), "d/b.jpg": ("b.jpg", "b", None),
+    }
+    assert {(r.path, r.sidecar, r.tier) for r in matches.collect()} == {
+        ("d/a.jpg", "d/a.jpg.json", "exact"), ("d/b.jpg", "d/x.json", "title"),
+    }
+
+
+def test_many_folders_are_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.txt").write_text("a")
+    group = f"listing-{tmp_path}"
+    spark.sparkContext.setJobGroup(group, "listing")
+    try:
+        assert list_files(tune(spark), str(tmp_path), "*.txt").count() == 300
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(i).numTasks for i in stages) <= 200
+
+
 @pytest.mark.parametrize("months", [None, ("2024-01", "2024-01")])
 def test_an_ingest_parses_once_with_the_catalog_before_it(spark, tables, monkeypatch, months):
     calls = []
