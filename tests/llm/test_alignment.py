@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,30 @@ def test_lists_give_the_groups_back(spark):
         assert b"".join(v.a[t] for t in r.a_ids[i:x]) == b"".join(v.b[t] for t in r.b_ids[j:y])
         i, j = x, y
     assert (i, j) == (r.n_a, r.n_b) and sum(r.times) == r.n_groups
+
+
+def test_texts_of_a_part_are_checked_together():
+    """Ids give a text back, fall short of it, go over it, or differ inside; the others stay."""
+    tokens, sizes = np.frombuffer(b"abcab", dtype=np.uint8), np.array([1, 0, 2, 2])
+    texts = [(b"abcab", [0, 2, 3]), (b"ab", [0]), (b"a", [3]), (b"", []), (b" ", []), (b"bca", [2, 1, 0]), (b"bcab", [3, 2]), (b"ab", [3])]
+    ids = np.array([i for _, own in texts for i in own])
+    begins = np.cumsum([0] + [len(own) for _, own in texts])
+    raw = np.frombuffer(b"".join(t for t, _ in texts), dtype=np.uint8)
+    # "bc" is bytes 1 and 2 of the table: id 2.
+    got = alignment._given_back(tokens, sizes, ids, begins, raw, np.array([len(t) for t, _ in texts]))
+    assert got.tolist() == [True, False, False, True, False, True, False, True]
+
+
+def test_texts_not_given_back_leave_their_neighbours_alone():
+    v = alignment.vocabularies(alignment.FOLDER)
+    texts = ["a b", "a▁b", "", "▁", " x", "▁▁", "naïve ½ 中文"]
+    alone = [alignment._encoded(v, [t]) for t in texts]
+    a, b, a_begins, b_begins = alignment._encoded(v, texts)
+    assert [len(x[0]) > 0 for x in alone] == [True, False, False, False, True, False, True]
+    for i, (x, y, *_) in enumerate(alone):
+        assert a[a_begins[i] : a_begins[i + 1]].tolist() == x.tolist() and b[b_begins[i] : b_begins[i + 1]].tolist() == y.tolist()
+
+
+def test_cuts_are_looked_up_in_one_dictionary():
+    x, y = alignment.common_cuts(np.array([2, 3, 7, 9]), np.array([1, 3, 4, 9]))
+    assert (x.tolist(), y.tolist()) == ([2, 4], [2, 4])

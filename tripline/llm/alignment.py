@@ -1,9 +1,10 @@
 """Alignment of two tokenizations of one text, and how often token pairs end together.
 
 A text is encoded twice, with a blank before it: by a byte-level BPE vocabulary (A) and by a piece
-model with byte fallback (B). Tokens are ranges of the same bytes. Each side keeps a dictionary
-from the byte offset where a token ends to the token's index; the offsets in both are the places
-where the text can be cut for both sides at once. Sorted, they slice both id lists into groups.
+model with byte fallback (B). Tokens are ranges of the same bytes. A dictionary leads from the byte
+offset where a token of A ends to the token's index; the offsets where tokens of B end, in order,
+are looked up in it. Those in both are the places where the text can be cut for both sides at
+once: they slice both id lists into groups.
 The last tokens of the two slices of a group are the only ones whose ranges end together: they are
 its link.
 
@@ -17,7 +18,7 @@ changed between Unicode versions take a faster encoder over the same vocabulary,
 merges are in the order of its ids.
 
 Null and empty texts have no tokens, nor have texts that either side does not give back byte for
-byte: zeros and an empty string. Nothing is cut, however long the text. Repeated rows and rows
+byte: zeros and an empty string. All texts of a part are compared in one step. Nothing is cut, however long the text. Repeated rows and rows
 with equal or null ids each count and return their own row. Other columns are not looked at.
 """
 
@@ -29,7 +30,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,8 @@ class Vocabularies:
             self.b.append(bytes([int(piece[3:5], 16)]) if self._pieces.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_sizes = np.array([len(t) for t in self.a], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b], dtype=np.int64)
+        #: The bytes of all tokens one behind the other.
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(x), dtype=np.uint8) for x in (self.a, self.b))
         #: The name of each id as it stands inside and at the end of its slice of a group.
         self.names = np.array([f"{i}{c}" for i in range(len(self.a)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b)) for c in ",;"], dtype="S")
 
@@ -102,9 +105,6 @@ class Vocabularies:
             return self._fast.encode_to_numpy(text)
         return np.array(self._full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def gives_back(self, a: np.ndarray, whole: bytes) -> bool:
-        return b"".join(map(self.a.__getitem__, a.tolist())) == whole
-
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self._pieces.encode(texts, num_threads=1)
 
@@ -115,29 +115,45 @@ def vocabularies(folder: str) -> Vocabularies:
     return Vocabularies(folder)
 
 
-def common_cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of either side lie before each place where tokens of both end."""
-    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
-    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
-    common = sorted(a_at.keys() & b_at.keys())
-    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
+def common_cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either side lie before each place where tokens of both end. Ends ascend,
+    so one side's are looked up in the other's dictionary in the order of the cuts."""
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    found = np.fromiter(map(a_at.get, b_ends.tolist(), repeat(0)), np.int64, len(b_ends))
+    y = np.flatnonzero(found)
+    return found[y], y + 1
 
 
 _NUMBERS = "n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, times array<int>"
 _LISTS = "a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
 
 
+def _given_back(tokens: np.ndarray, sizes: np.ndarray, ids: np.ndarray, begins: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
+    """Which texts are the bytes of their ids. ``tokens``: the bytes of all ids, each of its size."""
+    spans = sizes[ids]
+    fits = np.diff(np.append(0, np.cumsum(spans))[begins]) == raw_sizes
+    # Those of the right size are compared byte by byte.
+    compared = np.repeat(fits, np.diff(begins))
+    ids, spans = ids[compared], spans[compared]
+    shift = (np.cumsum(sizes) - sizes)[ids] - (np.cumsum(spans) - spans)
+    differ = tokens[np.arange(spans.sum()) + np.repeat(shift, spans)] != raw[np.repeat(fits, raw_sizes)]
+    fits[np.repeat(np.flatnonzero(fits), raw_sizes[fits])[differ]] = False
+    return fits
+
+
 def _encoded(v: Vocabularies, texts: list[str]) -> tuple[np.ndarray, ...]:
     """The ids of both sides of all texts, and where each text's ids begin."""
-    a, b = [], []
-    for text, pieces in zip(texts, v.encode_b(texts)):
-        whole = b" " + text.encode()
-        ids = v.encode_a(" " + text) if text and b"".join(map(v.b.__getitem__, pieces)) == whole else []
-        fits = len(ids) and int(v.a_sizes[ids].sum()) == len(whole) and v.gives_back(ids, whole)
-        a.append(ids if fits else [])
-        b.append(pieces if fits else [])
-    begins = [np.cumsum([0, *map(len, x)]) for x in (a, b)]
-    return np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(begins[1][-1])), *begins
+    wholes = [b" " + t.encode() for t in texts]
+    raw, raw_sizes = np.frombuffer(b"".join(wholes), dtype=np.uint8), np.array(list(map(len, wholes)))
+    a, b = [v.encode_a(" " + t) if t else np.zeros(0, np.uint32) for t in texts], v.encode_b(texts)
+    n_a, n_b = (np.array(list(map(len, x))) for x in (a, b))
+    a, b = np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+    begins = [np.append(0, np.cumsum(n)) for n in (n_a, n_b)]
+    fits = _given_back(v.a_bytes, v.a_sizes, a, begins[0], raw, raw_sizes) & _given_back(v.b_bytes, v.b_sizes, b, begins[1], raw, raw_sizes)
+    if not fits.all():
+        a, b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)]
+        begins = [np.append(0, np.cumsum(n * fits)) for n in (n_a, n_b)]
+    return a, b, *begins
 
 
 def _digests(v: Vocabularies, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, begins: np.ndarray) -> list[str]:
@@ -165,8 +181,7 @@ def _aligned(folder: str, lists: bool):
             for part in chunks(batch, "text", _PART):
                 # The texts of a part stand one behind the other; where one ends, both sides end.
                 a, b, a_begins, b_begins = _encoded(v, [t or "" for t in part.column("text").to_pylist()])
-                x, y = common_cuts(np.cumsum(v.a_sizes[a]).tolist(), np.cumsum(v.b_sizes[b]).tolist())
-                x, y = np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
+                x, y = common_cuts(np.cumsum(v.a_sizes[a]), np.cumsum(v.b_sizes[b]))
                 row = np.searchsorted(a_begins, x - 1, side="right") - 1
                 # A row and a pair in one number; sorted, those of a row are next to each other.
                 found, times = np.unique(row << 31 | a[x - 1] * _WIDTH + b[y - 1], return_counts=True)
