@@ -18,8 +18,9 @@ changed between Unicode versions take a faster encoder over the same vocabulary,
 merges are in the order of its ids.
 
 Null and empty texts have no tokens, nor have texts that either side does not give back byte for
-byte: zeros and an empty string. All texts of a part are compared in one step. Nothing is cut, however long the text. Repeated rows and rows
-with equal or null ids each count and return their own row. Other columns are not looked at.
+byte: zeros and an empty string. All texts of a part are compared in one step. Nothing is cut,
+however long the text. Repeated rows and rows with equal or null ids each count and return their
+own row. Other columns are not looked at.
 """
 
 from __future__ import annotations
