@@ -5,11 +5,14 @@ The catalog is keyed by (track_id, dedupe_key).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.geo import BASE_LEVEL, cell_level, cell_of, cell_parent
 from tripline.functions.identity import dedupe_key
+from tripline.functions.steps import once
 from tripline.functions.times import SOURCE_MANUAL, in_months, local_date, taken_at
 
 KEY = ["track_id", "dedupe_key"]
@@ -168,7 +171,7 @@ def resolve_location(rows: DataFrame) -> DataFrame:
         return F.when(manual, prev[name]).otherwise(new[name]).alias(name)
 
     same_cell = prev.base_cell == new.base_cell
-    return rows.withColumn("_loc", fresh).withColumns(
+    return once(rows, fresh, "_loc").withColumns(
         {
             "latitude": kept("latitude"),
             "longitude": kept("longitude"),
@@ -218,9 +221,7 @@ def resolve_time(rows: DataFrame) -> DataFrame:
     sc, ex, prev = F.col("sc"), F.col("ex"), F.col("prev")
     manual = F.coalesce(prev.taken_at_source == SOURCE_MANUAL, F.lit(False))
     new = F.col("_time")
-    rows = rows.withColumn(
-        "_time", taken_at(sc.epoch, ex.datetime_text, F.col("mtime"), F.col("zone"))
-    ).withColumns(
+    rows = once(rows, taken_at(sc.epoch, ex.datetime_text, F.col("mtime"), F.col("zone")), "_time").withColumns(
         {
             "taken_at": F.when(manual, prev.taken_at).otherwise(new["at"]),
             "taken_at_source": F.when(manual, SOURCE_MANUAL).otherwise(new["source"]),
@@ -268,7 +269,8 @@ def catalog_rows(rows: DataFrame) -> DataFrame:
     """Catalog columns of the rows to write. A re-read that did not consult the image keeps the
     stored EXIF values."""
     sc, ex, prev = F.col("sc"), F.col("ex"), F.col("prev")
-    return rows.where(F.col("action").isin(*WRITTEN)).select(
+    written = reduce(lambda a, b: a | b, [F.col("action") == a for a in WRITTEN])
+    return rows.where(written).select(
         *KEY,
         F.when(sc.url != "", sc.url).alias("url"),
         F.col("name").alias("file_name"),

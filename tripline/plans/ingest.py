@@ -45,16 +45,36 @@ def resolve_files(
     force: bool = False,
 ) -> DataFrame:
     """Every media file with its action; those that the sidecar and the catalog do not settle
-    with identity, location and time, too. The files that are settled, in a repeated run nearly
-    all, leave before EXIF rows, zones and the catalog's other columns are joined."""
+    with identity, location and time, too."""
+    return resolve_met(with_sidecars(files, matches, sidecars), exif, tz_cells, previous, months, force)
+
+
+def with_sidecars(files: DataFrame, matches: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """The media files, each with its sidecar."""
     rows = resolve.join_sidecars(files.where(F.col("kind").isNotNull()), matches, sidecars)
-    if "error" not in rows.columns:
-        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    return rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+
+
+def resolve_met(
+    rows: DataFrame,
+    exif: DataFrame,
+    tz_cells: DataFrame,
+    previous: DataFrame,
+    months: tuple[str, str] | None = None,
+    force: bool = False,
+    written: bool = False,
+) -> DataFrame:
+    """Of ``with_sidecars``. The files that are settled, in a repeated run nearly all, leave before EXIF
+    rows, zones and the catalog's other columns are joined. ``written``: ``rows`` are a stage and
+    ``previous`` has no row, so they are not written once more for the steps that read them."""
     rows = resolve.add_settled(rows, previous, months, force)
     # Only what goes on needs the document itself.
     text = F.when(F.col("settled").isNull(), F.col("sc.json"))
-    rows = materialize(rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", text))), "settled")
-    settled = rows.where("settled is not null").withColumnRenamed("settled", "action")
+    if not written:
+        rows = materialize(rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", text))), "settled")
+    # Told by the expression: a step for written rows alone leaves these out when it is planned.
+    action = F.when(F.col("settled") == "skipped", "skipped").otherwise("filtered")
+    settled = rows.where("settled is not null").withColumn("action", action).drop("settled")
     rest = resolve.add_identity(resolve.join_exif(rows.where("settled is null").drop("settled"), exif))
     rest = rest.join(resolve.load_previous(previous), resolve.KEY, "left")
     rest = resolve.resolve_location(rest)

@@ -9,7 +9,7 @@ from tripline.functions import names, times
 from tripline.functions.geo import cell_parent
 from tripline.operators import resolve
 from tripline.operators.matching import match_sidecars
-from tripline.plans.ingest import media_side, resolve_files
+from tripline.plans.ingest import media_side, resolve_met, with_sidecars
 from tripline.queries import base_sql as b
 from tripline.queries import files_sql as q
 from tripline.session import materialize
@@ -38,24 +38,25 @@ def _ts(c: str) -> str:
 
 def _rows(spark, sf_dir, previous=None, months=None, force=False, texts=False):
     """``texts``: the rows are written to a catalog, which holds the documents, too. Where the
-    earlier catalog is yet to be made, it takes what the documents and the names tell from here."""
+    earlier catalog is yet to be made, all files meet their sidecars here, once for both."""
     listing = s.listing(spark, sf_dir)
     every, _ = media_side(listing)
-    files, left_out = media_side(listing, months)
+    files, _ = media_side(listing, months)
     first = previous is None and not sample.is_stored(spark, sf_dir, "earlier")
     docs = s.parsed_sidecars(spark, sf_dir, texts or first)
-    matches = match_sidecars(files, docs, every)
     if first:
-        matches = materialize(matches, "matches")
-        others = None if left_out is None else match_sidecars(left_out, docs, every)
-        s.earlier_catalog(spark, sf_dir, docs, matches if others is None else matches.unionByName(others))
+        rows = materialize(with_sidecars(every, match_sidecars(every, docs), docs), "met")
+        s.earlier_catalog(spark, sf_dir, rows)
+        if months:
+            rows = rows.where(names.in_folder_years(F.col("dir"), *months))
+    else:
+        rows = with_sidecars(files, match_sidecars(files, docs, every), docs)
     if not texts:
-        docs = docs.withColumn("json", F.lit(None).cast("string"))
+        none = F.lit(None).cast("string")
+        rows = rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", none)))
     if previous is None:
         previous = s.earlier_catalog(spark, sf_dir)
-    return resolve_files(
-        files, matches, docs, s.exif(spark, sf_dir), s.tz_cells(spark, sf_dir), previous, months, force
-    )
+    return resolve_met(rows, s.exif(spark, sf_dir), s.tz_cells(spark, sf_dir), previous, months, force)
 
 
 def _fresh(spark, sf_dir):

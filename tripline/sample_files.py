@@ -13,7 +13,7 @@ from tripline import sample
 from tripline.functions.geo import cell_parent
 from tripline.functions.names import media_kind
 from tripline.operators.resolve import TZ_LEVEL
-from tripline.plans.ingest import media_side, resolve_files
+from tripline.plans.ingest import media_side, resolve_met, with_sidecars
 from tripline.operators import resolve
 from tripline.operators.matching import match_sidecars
 from tripline.operators.upsert import upsert_media
@@ -194,11 +194,9 @@ def empty_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], resolve.CATALOG_DDL).limit(0)
 
 
-def earlier_catalog(
-    spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, matches: DataFrame | None = None
-) -> DataFrame:
-    """``docs`` and ``matches`` of all files, from a step that has them anyway."""
-    return sample.stored(spark, sf_dir, "earlier", lambda: _earlier(spark, sf_dir, docs, matches))
+def earlier_catalog(spark: SparkSession, sf_dir: str, met: DataFrame | None = None) -> DataFrame:
+    """``met``: all files with their sidecars, a stage of a step that has them anyway."""
+    return sample.stored(spark, sf_dir, "earlier", lambda: _earlier(spark, sf_dir, met))
 
 
 _ROOTS: dict[tuple[str, str], str] = {}
@@ -221,15 +219,14 @@ def parsed_sidecars(spark: SparkSession, sf_dir: str, texts: bool = True) -> Dat
     return materialize(rows if texts else rows.withColumn("json", F.lit(None).cast("string")), "sidecars")
 
 
-def _earlier(spark, sf_dir, docs=None, matches=None):
-    every, _ = media_side(listing(spark, sf_dir))
-    files = every.where(F.col("mtime") < F.lit(EARLIER_UNTIL).cast("timestamp"))
+def _earlier(spark, sf_dir, met=None):
+    early = F.col("mtime") < F.lit(EARLIER_UNTIL).cast("timestamp")
     none = empty_catalog(spark)
-    if docs is None:
-        docs = parsed_sidecars(spark, sf_dir)
-    if matches is None:
-        matches = match_sidecars(files, docs, every)
-    rows = resolve_files(files, matches, docs, exif(spark, sf_dir), tz_cells(spark, sf_dir), none)
+    if met is None:
+        every, _ = media_side(listing(spark, sf_dir))
+        files, docs = every.where(early), parsed_sidecars(spark, sf_dir)
+        met = materialize(with_sidecars(files, match_sidecars(files, docs, every), docs), "met")
+    rows = resolve_met(met.where(early), exif(spark, sf_dir), tz_cells(spark, sf_dir), none, written=True)
     first = resolve.resolve_duplicates(resolve.catalog_rows(rows))
     at = F.lit("2024-01-22").cast("timestamp")
     size = F.length("file_name") + F.unix_seconds("taken_at")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.identity import sidecar_fingerprint
+from tripline.functions.steps import once
 from tripline.functions.text import strip
 
 _TEXTS = ("title", "description", "url")
@@ -33,29 +34,40 @@ def _as(leaf: Column, type_name: str) -> Column:
     return F.try_variant_get(leaf, "$", type_name)
 
 
-def _valid(doc: Column, root: Column) -> Column:
-    """All or nothing: one field of a wrong type makes the document unusable. Unknown fields
-    do not matter, and numbers given as text are fine for coordinates."""
-    checks = [root.isNotNull()]
-    for block in _TIMES + _PLACES:
-        # Absent, null, or an object; what is no object reads as a NULL struct.
-        there = F.try_variant_get(doc, f"$.{block}", "variant")
-        nothing = there.isNull() | (F.schema_of_variant(there) == "VOID")
-        checks.append(root[block].isNotNull() | nothing)
-    for leaf in [root[t] for t in _TEXTS] + [root[t].formatted for t in _TIMES]:
-        checks.append(_absent_or(leaf, F.schema_of_variant(leaf).isin("STRING", "VOID")))
-    for leaf in [root[t].timestamp for t in _TIMES]:
-        kind, number = F.schema_of_variant(leaf), _as(leaf, "double")
-        whole = kind.isin("STRING", "VOID", "BIGINT") | (
-            ((kind == "DOUBLE") | kind.startswith("DECIMAL")) & (number == F.floor(number))
-        )
-        checks.append(_absent_or(leaf, whole))
-    for leaf in [root[p][axis] for p in _PLACES for axis in _DEGREES]:
-        # A JSON null is no number, unlike an absent field.
-        checks.append(_absent_or(leaf, _as(leaf, "double").isNotNull()))
+# All or nothing: one field of a wrong type makes the document unusable. Unknown fields do not
+# matter, and numbers given as text are fine for coordinates. The checks of each part, never NULL:
+
+
+def _all(*checks: Column) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
+def _is_block(doc: Column, root: Column, block: str) -> Column:
+    """Absent, null, or an object; what is no object reads as a NULL struct."""
+    there = F.try_variant_get(doc, f"$.{block}", "variant")
+    nothing = there.isNull() | (F.schema_of_variant(there) == "VOID")
+    return root[block].isNotNull() | nothing
+
+
+def _is_text(leaf: Column) -> Column:
+    return _absent_or(leaf, F.schema_of_variant(leaf).isin("STRING", "VOID"))
+
+
+def _is_time(doc: Column, root: Column, block: str) -> Column:
+    leaf = root[block].timestamp
+    kind, number = F.schema_of_variant(leaf), _as(leaf, "double")
+    whole = kind.isin("STRING", "VOID", "BIGINT") | (
+        ((kind == "DOUBLE") | kind.startswith("DECIMAL")) & (number == F.floor(number))
+    )
+    return _all(_is_block(doc, root, block), _is_text(root[block].formatted), _absent_or(leaf, whole))
+
+
+def _is_place(doc: Column, root: Column, block: str) -> Column:
+    # A JSON null is no number, unlike an absent field.
+    numbers = [_absent_or(root[block][axis], _as(root[block][axis], "double").isNotNull()) for axis in _DEGREES]
+    return _all(_is_block(doc, root, block), *numbers)
+
+
 def _epoch(block: Column) -> Column:
     text = strip(_as(block.timestamp, "string"))
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
@@ -67,32 +79,34 @@ def _coords(block: Column) -> Column:
     return F.when((lat != 0.0) | (lng != 0.0), F.struct(lat.alias("lat"), lng.alias("lng")))
 
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column that is computed once per row: a projection would be inlined into every
-    expression using it, and filters on it pushed below, each repeating the work."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def parse_sidecars(docs: DataFrame, text: str = "json") -> DataFrame:
     """Add raw_title (of any JSON object), valid, title, description, url, epoch, lat, lng and
     fingerprint. Broken text is not valid and never fails the job."""
-    doc, root, valid = F.col("_doc"), F.col("_root"), F.col("_valid")
+    doc, root = F.col("_doc"), F.col("_root")
     title = F.try_variant_get(doc, "$.title", "variant")
     # A step for each part: what one step computes is one method of generated code, and the JVM
     # only interprets a method that is too large.
-    rows = _once(docs, F.try_parse_json(text), "_doc")
-    rows = _once(rows, F.try_variant_get(doc, "$", _SHAPE), "_root")
-    rows = _once(rows, _valid(doc, root), "_valid")
+    rows = once(docs, F.try_parse_json(text), "_doc")
+    rows = once(rows, F.try_variant_get(doc, "$", _SHAPE), "_root")
     raw_title = F.when(F.schema_of_variant(title) == "STRING", _as(title, "string"))
     texts = F.struct(
         raw_title.alias("raw_title"),
         _as(root.description, "string").alias("description"),
         _as(root.url, "string").alias("url"),
+        _all(root.isNotNull(), *[_is_text(root[t]) for t in _TEXTS]).alias("valid"),
     )
-    rows = _once(rows, texts, "_text")
-    rows = _once(rows, F.coalesce(*[_epoch(root[t]) for t in _TIMES]), "_epoch")
-    rows = _once(rows, F.coalesce(*[_coords(root[p]) for p in _PLACES]), "_at")
-    rows = rows.drop("_doc", "_root")
+    steps = {"_text": texts}
+    for t in _TIMES:
+        steps[f"_{t}"] = F.struct(_epoch(root[t]).alias("epoch"), _is_time(doc, root, t).alias("valid"))
+    for p in _PLACES:
+        steps[f"_{p}"] = F.struct(_coords(root[p]).alias("at"), _is_place(doc, root, p).alias("valid"))
+    for name, step in steps.items():
+        rows = once(rows, step, name)
+    valid = _all(*[F.col(name).valid for name in steps])
+    epoch = F.coalesce(*[F.col(f"_{t}").epoch for t in _TIMES])
+    at = F.coalesce(*[F.col(f"_{p}").at for p in _PLACES])
+    rows = once(rows, F.struct(valid.alias("valid"), epoch.alias("epoch"), at.alias("at")), "_typed")
+    valid = F.col("_typed.valid")
 
     def if_valid(name: str) -> Column:
         return F.when(valid, F.col(name))
@@ -104,12 +118,12 @@ def parse_sidecars(docs: DataFrame, text: str = "json") -> DataFrame:
             "title": if_valid("_text.raw_title"),
             "description": if_valid("_text.description"),
             "url": if_valid("_text.url"),
-            "epoch": if_valid("_epoch"),
-            "lat": if_valid("_at.lat"),
-            "lng": if_valid("_at.lng"),
+            "epoch": if_valid("_typed.epoch"),
+            "lat": if_valid("_typed.at.lat"),
+            "lng": if_valid("_typed.at.lng"),
         }
     )
     fingerprint = sidecar_fingerprint(
-        valid, F.col("title"), F.col("description"), F.col("lat"), F.col("lng")
+        F.col("valid"), F.col("title"), F.col("description"), F.col("lat"), F.col("lng")
     )
-    return rows.withColumn("fingerprint", fingerprint).drop("_valid", "_text", "_epoch", "_at")
+    return rows.withColumn("fingerprint", fingerprint).drop("_doc", "_root", *steps, "_typed")
