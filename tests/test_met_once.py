@@ -11,6 +11,7 @@ from tripline.operators import matching, resolve
 from tripline.operators.matching import match_sidecars
 from tripline.queries import ingest
 from tripline.session import materialize
+from tripline.sinks import buckets
 from tripline.sources.sidecars import parse_sidecars
 
 NAMES = "track_id long, dir string, name string, path string"
@@ -47,14 +48,14 @@ def test_months_match_all_files_once_with_the_catalog_before_them(spark, tables,
     assert sorted(rows) == sorted(tuple(r) for r in ingest.ingest_classify_months(spark, tables).collect())
 
 
-def test_stages_hold_no_dictionaries(spark):
-    stage = materialize(spark.range(9).select(F.concat(F.lit("IMG_"), "id").alias("name"), F.timestamp_seconds("id").alias("at")))
+def test_plain_stages_hold_no_dictionaries(spark):
+    stage = materialize(spark.range(9).select(F.concat(F.lit("IMG_"), "id").alias("name"), F.timestamp_seconds("id").alias("at")), plain=True)
+    assert spark.conf.get("spark.sql.parquet.outputTimestampType") == "INT96"
     meta = [pq.ParquetFile(f).metadata for f in glob.glob(stage.stage_path.removeprefix("file:") + "/*.parquet")]
     columns = [m.row_group(i).column(c) for m in meta for i in range(m.num_row_groups) for c in range(2)]
     assert columns and not any(c.has_dictionary_page for c in columns)
     assert {c.physical_type for c in columns} == {"BYTE_ARRAY", "INT64"}
     assert stage.where("at = timestamp_seconds(8)").first().name == "IMG_8"
-    assert spark.conf.get("spark.sql.parquet.outputTimestampType") == "INT96"
 
 
 def test_large_methods_are_not_interpreted(spark):
@@ -103,3 +104,31 @@ def test_image_times_are_read_once_per_row(spark):
     assert (str(row.taken_at), row.taken_at_source, str(row.local_date)) == ("2024-01-01 18:04:05", "exif", "2024-01-02")
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan
+
+
+def test_a_merge_exchanges_either_side_once(spark, tmp_path, monkeypatch):
+    ddl = "track_id long, dedupe_key string, url string, taken_at timestamp, created_at timestamp, updated_at timestamp"
+    root, seen, write = str(tmp_path), [], buckets._write
+    old = spark.createDataFrame([(k % 3, f"k{k}", "old", None, None, None) for k in range(50)], ddl)
+    buckets.create_catalog(old, root, buckets=8)
+
+    def watched(dealt, at):
+        seen.append(dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(dealt, at)
+
+    monkeypatch.setattr(buckets, "_write", watched)
+    changes = spark.createDataFrame([(k % 3, f"k{k}", "new") for k in range(40, 60)], "track_id long, dedupe_key string, url string")
+    buckets.merge_catalog(changes.withColumn("taken_at", F.lit(None).cast("timestamp")), root)
+    assert seen == [2]
+    got = sorted((int(r.dedupe_key[1:]), r.url) for r in buckets.read_catalog(spark, root).collect())
+    assert got == [(k, "old" if k < 40 else "new") for k in range(60)]
+    assert buckets.read_catalog(spark, root).columns == old.columns
+
+
+def test_settled_files_are_left_out_of_a_merge_when_it_is_planned(spark, tables):
+    ingest._rows(spark, tables)
+    rows = ingest._rows(spark, tables, texts=True)
+    assert {"skipped", "refreshed"} <= {r.action for r in rows.select("action").collect()}
+    changes = resolve.catalog_rows(rows)
+    assert "Union" not in changes._jdf.queryExecution().optimizedPlan().toString()
+    assert changes.count() == rows.where(F.col("action").isin(*resolve.WRITTEN)).count() > 0

@@ -172,12 +172,12 @@ def match_sidecars(files: DataFrame, sidecars: DataFrame, siblings: DataFrame |
     sides, and written, so that documents are not parsed for every tier. Between the tiers a file is the
     number of its row there, not its path. The few files without an exact hit are written once; the
     later tiers work on them alone."""
-    sidecars = materialize(cues_of(sidecars), "cues")
+    sidecars = materialize(cues_of(sidecars), "cues", plain=True)
     media = taken_apart(files.where(F.col("kind").isNotNull()))
-    media = materialize(media.withColumn("_id", F.monotonically_increasing_id()), "names")
+    media = materialize(media.withColumn("_id", F.monotonically_increasing_id()), "names", plain=True)
     # The name of a file with a hit is not asked for again.
     exact = media.join(match_exact(media, sidecars), "_id", "left")
-    exact = materialize(exact.withColumns({c: F.when(F.col("sidecar").isNull(), F.col(c)) for c in media.columns if c not in FILE}), "exact")
+    exact = materialize(exact.withColumns({c: F.when(F.col("sidecar").isNull(), F.col(c)) for c in media.columns if c not in FILE}), "exact", plain=True)
     left = exact.where(F.col("sidecar").isNull()).drop("sidecar")
     later = (
         left.join(match_title(left, sidecars).withColumnRenamed("sidecar", "_b"), "_id", "left")

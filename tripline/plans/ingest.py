@@ -71,7 +71,7 @@ def resolve_met(
     # Only what goes on needs the document itself.
     text = F.when(F.col("settled").isNull(), F.col("sc.json"))
     if not written:
-        rows = materialize(rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", text))), "settled")
+        rows = materialize(rows.withColumn("sc", F.when(F.col("sc").isNotNull(), F.col("sc").withField("json", text))), "settled", plain=True)
     # Told by the expression: a step for written rows alone leaves these out when it is planned.
     action = F.when(F.col("settled") == "skipped", "skipped").otherwise("filtered")
     settled = rows.where("settled is not null").withColumn("action", action).drop("settled")
@@ -101,10 +101,10 @@ def ingest(
     files, skipped_folders = media_side(listing, months)
     if months:
         documents = documents.where(in_folder_years(F.col("dir"), *months))
-    sidecars = materialize(parse_sidecars(documents), "sidecars")
+    sidecars = materialize(parse_sidecars(documents), "sidecars", plain=True)
     matches = match_sidecars(files, sidecars)
     # Four results are taken from the rows.
-    rows = materialize(resolve_files(files, matches, sidecars, exif, tz_cells, catalog, months, force), "rows")
+    rows = materialize(resolve_files(files, matches, sidecars, exif, tz_cells, catalog, months, force), "rows", plain=True)
     changes = resolve.resolve_duplicates(resolve.catalog_rows(rows))
     return Ingested(
         catalog=upsert_media(catalog, changes, now),

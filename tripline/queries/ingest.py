@@ -45,7 +45,7 @@ def _rows(spark, sf_dir, previous=None, months=None, force=False, texts=False):
     first = previous is None and not sample.is_stored(spark, sf_dir, "earlier")
     docs = s.parsed_sidecars(spark, sf_dir, texts or first)
     if first:
-        rows = materialize(with_sidecars(every, match_sidecars(every, docs), docs), "met")
+        rows = materialize(with_sidecars(every, match_sidecars(every, docs), docs), "met", plain=True)
         s.earlier_catalog(spark, sf_dir, rows)
         if months:
             rows = rows.where(names.in_folder_years(F.col("dir"), *months))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tripline import sample
 from tripline.functions.geo import cell_parent
 from tripline.functions.names import media_kind
+from tripline.functions.steps import once
 from tripline.operators.resolve import TZ_LEVEL
 from tripline.plans.ingest import media_side, resolve_met, with_sidecars
 from tripline.operators import resolve
@@ -152,9 +153,8 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _exif(spark, sf_dir):
     ev = events(spark, sf_dir)
-    files = _sql(spark, LISTING_SQL, ev=ev).select("x", "u", "path", "sec", "name").where(
-        media_kind(F.col("name")) == "photo"
-    )
+    files = _sql(spark, LISTING_SQL, ev=ev).select("x", "u", "path", "sec", "name")
+    files = once(files, media_kind(F.col("name")), "kind").where("kind = 'photo'")
     text = F.date_format(F.timestamp_seconds("sec"), "yyyy:MM:dd HH:mm:ss")
     files = files.withColumns(
         {
@@ -216,7 +216,7 @@ def parsed_sidecars(spark: SparkSession, sf_dir: str, texts: bool = True) -> Dat
     """The typed sidecars, written once for the steps that read them. Without ``texts`` the
     documents themselves, which only rows of the catalog hold, stay behind."""
     rows = sidecars(spark, sf_dir)
-    return materialize(rows if texts else rows.withColumn("json", F.lit(None).cast("string")), "sidecars")
+    return materialize(rows if texts else rows.withColumn("json", F.lit(None).cast("string")), "sidecars", plain=True)
 
 
 def _earlier(spark, sf_dir, met=None):
@@ -225,7 +225,7 @@ def _earlier(spark, sf_dir, met=None):
     if met is None:
         every, _ = media_side(listing(spark, sf_dir))
         files, docs = every.where(early), parsed_sidecars(spark, sf_dir)
-        met = materialize(with_sidecars(files, match_sidecars(files, docs, every), docs), "met")
+        met = materialize(with_sidecars(files, match_sidecars(files, docs, every), docs), "met", plain=True)
     rows = resolve_met(met.where(early), exif(spark, sf_dir), tz_cells(spark, sf_dir), none, written=True)
     first = resolve.resolve_duplicates(resolve.catalog_rows(rows))
     at = F.lit("2024-01-22").cast("timestamp")
