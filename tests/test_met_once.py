@@ -68,6 +68,17 @@ def test_large_methods_are_not_interpreted(spark):
     assert sizes and 0 < max(sizes) <= 8000
 
 
+def test_any_column_of_a_parsed_document_can_be_taken_alone(spark):
+    text = '{"title":"t","url":"u","description":"d","photoTakenTime":{"timestamp":"5"},"geoDataExif":{"latitude":1.5,"longitude":2.5}}'
+    docs = spark.createDataFrame([(1, "d", "a.json", "d/a.json", text)], NAMES + ", json string")
+    whole = parse_sidecars(docs).first().asDict()
+    assert (whole["valid"], whole["title"], whole["epoch"], whole["lat"], whole["lng"]) == (True, "t", 5, 1.5, 2.5)
+    for some in ([c] for c in whole):
+        assert parse_sidecars(docs).select(*some).first().asDict() == {c: whole[c] for c in some}
+    some = ["path", "valid", "lat", "lng"]
+    assert parse_sidecars(docs).where("valid").select(*some).first().asDict() == {c: whole[c] for c in some}
+
+
 def test_files_listed_twice_stay_two_rows(spark):
     """Rows are told apart by a number while tiers are matched; equal files get equal sidecars, in every tier."""
     names = ["IMG_1.jpg", "IMG_1.jpg", "b.jpg", "b.jpg", "holiday_beach_2.jpg", "none.jpg", "none.jpg"]
