@@ -49,7 +49,7 @@ def test_months_match_all_files_once_with_the_catalog_before_them(spark, tables,
 
 
 def test_plain_stages_hold_no_dictionaries(spark):
-    stage = materialize(spark.range(9).select(F.concat(F.lit("IMG_"), "id").alias("name"), F.timestamp_seconds("id").alias("at")), plain=True)
+    stage = materialize(spark.range(9).select(F.concat(F.lit("IMG_"), "id").alias("name"), F.timestamp_seconds("id").alias("at")), "names")
     assert spark.conf.get("spark.sql.parquet.outputTimestampType") == "INT96"
     meta = [pq.ParquetFile(f).metadata for f in glob.glob(stage.stage_path.removeprefix("file:") + "/*.parquet")]
     columns = [m.row_group(i).column(c) for m in meta for i in range(m.num_row_groups) for c in range(2)]
